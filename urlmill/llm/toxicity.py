@@ -27,7 +27,7 @@ from urlmill.llm.common import bounded_sample
 
 #: Bounds of the fit, whatever the size of the corpus: labelled rows and features per category.
 MAX_LABELLED_ROWS, MAX_FEATURES = 12_000, 256
-MIN_ROWS, MIN_Z, COUNT_CAP, FOLDS = 8, 7.0, 4, 5
+MIN_ROWS, MIN_Z, COUNT_CAP, FOLDS = 4, 5.0, 4, 5
 #: Runs of letters, and runs of signs.
 WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 

@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urlmill.functions import params as P
 from urlmill.functions.charsets import SPECIAL
 
 FIELDS = ("href", "scheme", "username", "password", "host", "host_type", "port", "path", "opaque_path", "query", "fragment", "error")
-DDL = "struct<href:string,scheme:string,username:string,password:string,host:string,host_type:string,port:int,path:string,opaque_path:boolean,query:string,fragment:string,error:string>"
+_KINDS = {"port": T.IntegerType(), "opaque_path": T.BooleanType()}
+#: The record's type, as an object and as text.
+RECORD = T.StructType([T.StructField(n, _KINDS.get(n, T.StringType())) for n in FIELDS])
+DDL = RECORD.simpleString()
 PARTS = ("scheme", "scheme_sep", "username", "password", "host_start", "host", "port", "path_prefix", "path", "query", "fragment")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from urlmill.functions import idna, kernel
 
-from urlmill.functions.record import DDL, FIELDS, default_port, origin, serialize_parts
+from urlmill.functions.record import DDL, FIELDS, RECORD, default_port, origin, serialize_parts
 
 #: Ordinary rows: printable ASCII, a special scheme with ``//``, no user, a plain domain, no backslash.
 ORDINARY = r"^(?i:https?|wss?|ftp)://[A-Za-z0-9._~!$&'()*+,;=-]+(?::[0-9]{0,5})?(?:[/?#][ -\[\]-~]*)?\z"
@@ -34,7 +34,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out
 
 
-@F.pandas_udf(DDL)
+@F.pandas_udf(RECORD)
 def _parse_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows = []
@@ -46,7 +46,7 @@ def _parse_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield _frame(rows)
 
 
-@F.pandas_udf(DDL)
+@F.pandas_udf(RECORD)
 def _parse_base_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     bases: dict[str, kernel.Url | str] = {}
     for texts, own in batches:

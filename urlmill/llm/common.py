@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,13 @@ def unit_hash(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def frames(rows, columns: list[str], most: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Row tuples as data frames of bounded size, whatever their number."""
+    rows = iter(rows)
+    while part := list(islice(rows, most)):
+        yield pd.DataFrame({c: pd.Series(v, dtype=object if isinstance(v[0], str) else None) for c, v in zip(columns, zip(*part))})
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u long, v long)``: rows ``(node, root)``, root the smallest node.
 

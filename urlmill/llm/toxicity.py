@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlmill.llm.common import bounded_sample
+from urlmill.llm.common import bounded_sample, frames
 
 #: Bounds of the fit, whatever the size of the corpus: labelled rows and features per category.
 MAX_LABELLED_ROWS, MAX_FEATURES = 12_000, 256
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], key: st
                 for c, y in zip(by, ys):
                     if y:
                         c.update(found)
-        yield pd.DataFrame({"feature": list(n), "n": list(n.values()), **{f"n{i}": [c[x] for x in n] for i, c in enumerate(by)}})
+        yield from frames(((x, k, *[c[x] for c in by]) for x, k in n.items()), ["feature", "n", *[f"n{i}" for i in range(len(by))]])
 
     schema = "feature string, n long, " + ", ".join(f"n{i} long" for i in range(len(categories)))
     total = sample.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()

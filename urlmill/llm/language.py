@@ -17,6 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlmill.llm.common import bounded_sample
+from urlmill.llm.common import bounded_sample, frames
 
 #: Bounds of the fit, whatever the size of the corpus: rows learned from, and words kept per language.
 MAX_ROWS, MAX_WORDS = 12_000, 20_000
 SWITCH, CLIP, MIN_SCRIPT_SHARE = 12.0, 6.0, 0.001
+#: Words whose scores a Python worker remembers, from one task to the next.
+KEPT_WORDS = 600_000
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of Unicode script ranges, with the script from there on.
 SCRIPTS = (
@@ -81,39 +84,39 @@ class Labeller:
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
         k = len(model.languages)
-        self.word_total = np.array([sum(n[i] for n in model.words.values()) for i in range(k)], float) + 1
-        self.gram_total = np.array([sum(n[i] for n in model.trigrams.values()) for i in range(k)], float) + len(model.trigrams) + 1
+        word_total = [sum(n[i] for n in model.words.values()) + 1 for i in range(k)]
+        gram_total = [sum(n[i] for n in model.trigrams.values()) + len(model.trigrams) + 1 for i in range(k)]
+        self.words = {w: [log((n + 0.1) / t) for n, t in zip(own, word_total)] for w, own in model.words.items()}
+        self.grams = {g: [log((n + 0.5) / t) for n, t in zip(own, gram_total)] for g, own in model.trigrams.items()}
+        self.no_gram = [log(0.5 / t) for t in gram_total]
         self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, k))
+        self.table = np.zeros((1024, k), np.float32)
 
-    def score(self, word: str) -> np.ndarray:
+    def score(self, word: str) -> list[float]:
         """Log-likelihoods of a lower-case word, relative to its best language and clipped; ruled-out languages get the clip."""
-        model = self.model
-        able = model.scripts.get(script(word), ())
-        out = np.full(len(model.languages), -CLIP)
+        able = self.model.scripts.get(script(word), ())
         if not able:
-            return np.zeros(len(model.languages))
-        padded, none = f"^{word}$", (0,) * len(model.languages)
-        grams = np.array([model.trigrams.get(padded[i : i + 3], none) for i in range(len(padded) - 2)], float)
-        like = np.log((grams + 0.5) / self.gram_total).sum(axis=0)
-        if (own := model.words.get(word)) is not None:
-            like = like / 2 + np.log((np.array(own) + 0.1) / self.word_total)
-        able = list(able)
-        out[able] = np.maximum(like[able] - like[able].max(), -CLIP)
-        return out
+            return [0.0] * len(self.model.languages)
+        padded, grams, none = f"^{word}$", self.grams, self.no_gram
+        like = [sum(x) for x in zip(*[grams.get(padded[i : i + 3], none) for i in range(len(padded) - 2)])]
+        if (own := self.words.get(word)) is not None:
+            like = [a / 2 + b for a, b in zip(like, own)]
+        best = max(like[i] for i in able)
+        return [max(x - best, -CLIP) if i in able else -CLIP for i, x in enumerate(like)]
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        at, ids = self.at, []
-        if len(at) > 400_000:
-            at.clear()
-        for w in words:
-            i = at.get(w)
-            if i is None:
-                i = at[w] = len(at)
-                if i >= len(self.table):
-                    self.table = np.vstack([self.table, np.zeros_like(self.table)])
-                self.table[i] = self.score(w)
-            ids.append(i)
+        if len(self.at) > KEPT_WORDS:
+            self.at.clear()
+        at = self.at
+        ids = list(map(at.get, words))
+        if None in ids:
+            new = [w for w in dict.fromkeys(words) if w not in at]
+            start = len(at)
+            at.update(zip(new, range(start, start + len(new))))
+            while len(self.table) < len(at):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            self.table[start : len(at)] = [self.score(w) for w in new]
+            ids = list(map(at.__getitem__, words))
         return np.array(ids, np.int64)
 
     def path(self, scores: np.ndarray) -> np.ndarray:
@@ -124,19 +127,17 @@ class Labeller:
         sums = np.vstack([np.zeros((1, lead.shape[1])), np.cumsum(lead, axis=0)])
         if (sums - np.minimum.accumulate(sums, axis=0)).max() <= self.switch / 2:
             return np.full(len(scores), best)  # no stretch gains enough elsewhere to pay for a change
-        back = np.zeros(scores.shape, np.int32)
-        value = scores[0].copy()
-        stay = np.arange(scores.shape[1])
-        for t in range(1, len(scores)):
-            top = int(np.argmax(value))
-            move = value[top] - self.switch > value
-            back[t] = np.where(move, top, stay)
-            value = np.where(move, value[top] - self.switch, value) + scores[t]
-        out = np.empty(len(scores), np.int64)
-        out[-1] = int(np.argmax(value))
-        for t in range(len(scores) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
-        return out
+        rows, back = scores.tolist(), []
+        value = rows[0]
+        for row in rows[1:]:  # plain lists: there are only a few languages
+            top = max(value)
+            at, floor = value.index(top), top - self.switch
+            back.append([i if v >= floor else at for i, v in enumerate(value)])
+            value = [(v if v >= floor else floor) + s for v, s in zip(value, row)]
+        out = [value.index(max(value))]
+        for came in reversed(back):
+            out.append(came[out[-1]])
+        return np.array(out[::-1])
 
     def label(self, text: str | None) -> tuple[str, float, list[dict]]:
         words = WORD.findall((text or "").lower())
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         for batch in batches:
             for language, t in zip(batch["lang"], batch["text"]):
                 by[language].update(WORD.findall((t or "").lower()))
-        yield pd.DataFrame([(x, w, n) for x, c in by.items() for w, n in c.items()], columns=["lang", "word", "n"])
+        yield from frames(((x, w, n) for x, c in by.items() for w, n in c.items()), ["lang", "word", "n"])
 
     counted = rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -179,12 +180,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def predict(df: DataFrame, model: Model, text: str = "text", switch: float = SWITCH) -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` and ``spans`` (first word, words, language); such columns are replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(Labeller(model, switch))  # bounded by MAX_WORDS words a language
     span = T.StructType([T.StructField("first_word", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())])
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]))
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Labeller(shared.value, switch)
+        own = shared.value
         for batch in batches:
             yield pd.DataFrame([own.label(t) for t in batch], columns=["lang_pred", "score", "spans"])
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlmill.llm.common import cut
+
 BLOCK = 1024
 
 
@@ -24,6 +26,7 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per length L: ``docs``; ``docs_from`` and ``tokens_from`` (documents of length L or more, and their
     tokens); ``docs_to`` and ``tokens_to`` (length L or less); ``truncated_total``, the sum of
     min(length, L); ``total_docs`` and ``total_tokens``; ``share_to`` = docs_to / total_docs."""
+    hist = cut(hist)  # read twice below; without a cut the texts would be encoded for each reading
     own = hist.withColumn("block", F.floor(F.col("n_tokens") / block)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     by_block = own.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("tokens").alias("bt"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per 1024 lengths

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlmill.llm.common import bounded_sample, frames
+from urlmill.llm.common import bounded_sample, cut, frames
 
 #: Bounds of the fit, whatever the size of the corpus: labelled rows and features per category.
 MAX_LABELLED_ROWS, MAX_FEATURES = 12_000, 256
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], key: st
     own = labels.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories]).dropna()
     chosen = bounded_sample(own, key, max_rows)
     # at most max_rows slim rows, so the sample may be broadcast
-    sample = docs.select(key, text).join(F.broadcast(chosen), key).select(text, *categories)
+    sample = cut(docs.select(key, text).join(F.broadcast(chosen), key).select(text, *categories))  # so all texts are read once
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, by = Counter(), [Counter() for _ in categories]
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], key: st
     total = sample.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     if not total["n"]:
         return Chain(categories, (), np.zeros((len(categories), len(categories))), np.full(len(categories), -50.0), (1.0,) * len(categories))
-    seen = sample.mapInPandas(count, schema).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *(f"n{i}" for i in range(len(categories))))]).where(F.col("n") >= MIN_ROWS)
+    seen = cut(sample.mapInPandas(count, schema).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *(f"n{i}" for i in range(len(categories))))]).where(F.col("n") >= MIN_ROWS))
     names: set[str] = set()
     for i, c in enumerate(categories):
         rate = (total[c] or 0) / total["n"]

@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from urlmill.llm.common import share
+
 #: Fixed values of the byte-level format: the pattern that cuts text into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 200_000
+#: Pieces of one generation of the cache, of which there are two, and rows of one frame handed over.
+CACHE, FRAME = 64_000, 1_024
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,7 +54,8 @@ class Tokenizer:
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one piece: merge the pair of lowest rank, leftmost first, until none is left."""
@@ -79,15 +83,18 @@ class Tokenizer:
         return [x for x in ids if x >= 0]
 
     def _plain(self, text: str, out: list[int]) -> None:
-        cache = self.cache
+        recent, older = self.recent, self.older
         for piece in self.pieces.findall(text):
-            ids = cache.get(piece)
+            ids = recent.get(piece)
             if ids is None:
-                ids = tuple(self.merge(piece.encode()))
+                ids = older.get(piece)
+                if ids is None:
+                    ids = tuple(self.merge(piece.encode()))
                 if len(piece) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[piece] = ids
+                    if len(recent) >= CACHE:  # the common pieces move on, the others are forgotten
+                        self.older = older = recent
+                        self.recent = recent = {}
+                    recent[piece] = ids
             out += ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -119,15 +126,15 @@ def with_tokens(df: DataFrame, spec: str, text: str = "text", ids: bool = True,
 
     Columns of these names are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(spec)
+    shared = share(df.sparkSession, Tokenizer(spec))  # a vocabulary; workers keep it, and its cache, between tasks
     fields = [("n_tokens", T.LongType())] + [("ids", T.ArrayType(T.IntegerType()))] * ids + [(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] * digests
 
     @F.pandas_udf(T.StructType([T.StructField(n, t) for n, t in fields]))
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Tokenizer(shared.value)
-        for batch in batches:
+        own = shared.value
+        for part in (batch.iloc[at : at + FRAME] for batch in batches for at in range(0, len(batch), FRAME)):
             rows = []
-            for t in batch:
+            for t in part:
                 got = own.encode(t)
                 row = [len(got)]
                 if ids:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class _Carried:
+    """Pickles as its content with the code of that content's classes, and is read back as the content."""
+
+    def __init__(self, content: object):
+        self.content = content
+
+    def __reduce__(self) -> tuple:
+        return cloudpickle.loads, (cloudpickle.dumps(self.content),)
+
+
+def share(spark: SparkSession, content: object) -> Broadcast:
+    """A broadcast whose ``value`` is ``content`` on executors, which need not have this package.
+
+    A worker keeps the value between the tasks of a stage, so caches in it stay warm.
+    """
+    return spark.sparkContext.broadcast(_Carried(content))
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The ``rows`` rows with the smallest hash of ``key``: the same rows on every run, at most that many."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(rows)

@@ -1,20 +1,24 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a text. A block meets a template when it holds at least ``threshold`` of the
-template's distinct words. The join is exact: words are ordered by their frequency over all blocks,
-rarest first; a block that meets a template must share one of the template's first
-``size - needed + 1`` words (prefix filter), have at least ``needed`` words of any template (length
-filter), and have enough words left behind the first shared one in both orders (positional filter);
-what remains is verified. Everything runs as DataFrame expressions; only the templates, which are a
-fixed list, are broadcast.
-
-Defined cases: a null text is an empty one, with no words and no label; words never cross a line for the
-templates, but do for the phrases; repeated words count once for the templates and each time for
-phrases; equal texts share their result; an empty table gives no row.
+Blocks are the lines of a text and, so that nothing depends on where lines are wrapped, every run of
+consecutive words of the whole text that is as long as the template with room for ``1 - threshold`` of
+other words. A block meets a template when it holds at least ``threshold`` of the template's distinct
+words. The join is exact: a text with such a block holds those words itself, so texts are joined first.
+Words are ordered by their frequency over all texts, rarest first; a text that holds enough of a
+template must share one of the template's first ``size - needed + 1`` words (prefix filter), have at
+least ``needed`` words of any template (length filter), and have enough words left behind the first
+shared one in both orders (positional filter); what remains is verified block by block. Everything runs
+as DataFrame expressions; only the templates, which are a fixed list, are broadcast.
+
+Defined cases: a null text is an empty one, with no words and no label; words cross lines for the
+templates as for the phrases; repeated words count once for the templates and each time for phrases;
+equal texts share their result; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,23 +57,31 @@ def needed(size: int, threshold: float = THRESHOLD) -> int:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    rows = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(templates)]
-    return spark.createDataFrame([(i, label, words, len(words), needed(len(words), threshold)) for i, label, words in rows], "template int, label string, words array<string>, size int, needed int")
+    rows = [(i, label, sorted(set(text.split())), ceil(len(text.split()) / threshold - 1e-9)) for i, (label, text) in enumerate(templates)]
+    return spark.createDataFrame([(i, label, words, len(words), needed(len(words), threshold), run) for i, label, words, run in rows], "template int, label string, words array<string>, size int, needed int, run int")
+
+
+def texts_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows ``(text_id, low)``: texts in lower case; equal texts have equal ids."""
+    return docs.select(F.md5(F.col(text).cast("binary")).alias("text_id"), lowered(F.col(text)).alias("low"))
 
 
-def blocks_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows ``(text_id, tokens)``: the distinct words of each line; equal texts have equal ids."""
-    lines = docs.select(F.md5(F.col(text).cast("binary")).alias("text_id"), F.explode(F.split(lowered(F.col(text)), "\n")).alias("line"))
-    return lines.select("text_id", F.array_distinct(F.split("line", GAP)).alias("tokens"))
+def best_block(words: Column, run: Column) -> Column:
+    """How many of a template's ``words`` the best block of a text (``low``, ``all``) holds."""
+    lines = F.transform(F.split("low", "\n"), lambda line: F.size(F.array_intersect(words, F.split(line, GAP))))
+    # the best run may begin with a word of the template
+    starts = F.filter(F.transform(F.col("all"), lambda w, i: F.when(F.array_contains(words, w), i + 1)), lambda i: i.isNotNull())
+    runs = F.transform(starts, lambda i: F.size(F.array_intersect(words, F.slice("all", i, run))))
+    return F.greatest(F.array_max(lines), F.array_max(runs))
 
 
 def containment_join(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows ``(text_id, template, label, containment)``: all templates that a text's lines meet, with the best line's share."""
+    """Rows ``(text_id, template, label, containment)``: all templates that a text's blocks meet, with the best block's share."""
     spark = docs.sparkSession
     known = template_table(spark, templates, threshold)
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    blocks = blocks_of(docs, text)
-    counted = blocks.select(F.explode("tokens").alias("word")).join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string")), "word").groupBy("word").count()
+    texts = texts_of(docs, text)
+    counted = texts.select(F.explode(F.array_distinct(F.split("low", GAP))).alias("word")).join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string")), "word").groupBy("word").count()
     seen = {r["word"]: r["count"] for r in counted.collect()}  # one row per template word
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
     prefix = []
@@ -80,15 +92,17 @@ def containment_join(docs: DataFrame, text: str = "text", templates=TEMPLATES, t
     index = spark.createDataFrame(prefix, "word string, template int, at int")
     first = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefix})])
     everything = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.__getitem__)])
-    hit = blocks.where(F.arrays_overlap("tokens", first))
-    ordered = hit.withColumn("own", F.array_intersect(everything, F.col("tokens")))  # the block's template words, rarest first
+    hit = texts.where(F.arrays_overlap(F.split("low", GAP), first))
+    ordered = hit.withColumn("own", F.array_intersect(everything, F.split("low", GAP)))  # the text's template words, rarest first
     met = ordered.withColumn("word", F.explode(F.array_intersect(F.col("own"), first))).join(F.broadcast(index), "word").join(F.broadcast(known), "template")
     here = F.array_position("own", F.col("word")).cast("int") - 1
     shared = F.array_intersect("words", "own")
     # of a pair's shared prefix words only the first in the order carries it on; it has no shared word before it
     alone = F.size(F.array_intersect(F.slice("own", F.lit(1), here), F.col("words"))) == 0
     left = 1 + F.least(F.col("size") - F.col("at") - 1, F.size("own") - here - 1)
-    verified = met.where((F.size("own") >= F.col("needed")) & alone & (left >= F.col("needed"))).withColumn("overlap", F.size(shared)).where("overlap >= needed")
+    verified = met.where((F.size("own") >= F.col("needed")) & alone & (left >= F.col("needed"))).where(F.size(shared) >= F.col("needed"))
+    # exploded, so that a block is searched once and not again for the condition
+    verified = verified.withColumn("all", F.split("low", GAP)).withColumn("overlap", F.explode(F.array(best_block(F.col("words"), F.col("run"))))).where("overlap >= needed")
     return verified.groupBy("text_id", "template", "label").agg(F.max(F.col("overlap") / F.col("size")).alias("containment"))
 
 

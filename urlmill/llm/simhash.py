@@ -152,7 +152,11 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     Of repeated rows (same key and text) one stays. Rows without a key stay only where nothing links them
     to a row that has one, one for each text. The rows keep their columns.
     """
-    found = near_duplicates(df, key, text, **how)
+    return kept_rows(df, near_duplicates(df, key, text, **how), key, text)
+
+
+def kept_rows(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that name their component in ``found`` (key, ``text_hash``, ``component_id``), one of each."""
     keep = cut(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__n")))
     hashed = df.withColumn("__own", F.xxhash64(F.col(text)))
     of = lambda some: hashed.join(some, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__hash")), "left_semi")

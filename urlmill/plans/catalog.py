@@ -145,7 +145,7 @@ SELECT page_id, link, CASE WHEN link LIKE 'http%' THEN link ELSE regexp_extract(
 
 @add("resolve_links", _LINKS)
 def _resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _pages(spark, sf_dir, "html").select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), F.lit(1)))).alias("link")).where(F.col("link").rlike("^/[^?#&]*$"))
+    links = _pages(spark, sf_dir, "html").select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), F.lit(1)))).alias("link"))
     return parse.resolve_links(links, "link", "url", "u").select("page_id", "link", F.col("u.href").alias("href"))
 
 

@@ -11,9 +11,11 @@ of any length is merged whole in O(n log n).
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,11 @@ from urlmill.llm.common import share
 
 #: Fixed values of the byte-level format: the pattern that cuts text into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of one generation of the cache, of which there are two, and rows of one frame handed over.
-CACHE, FRAME = 64_000, 1_024
+#: Pieces of one generation of the cache, of which there are two; its longest piece, in letters; rows of one frame handed over.
+CACHE, LONGEST, FRAME = 100_000, 48, 512
+#: A coded stretch of text: ids as int32, ids as text, the bytes that they decode to.
+Part = tuple[bytes, str, bytes]
+_IDS, _TEXT, _BYTES = map(itemgetter, range(3))
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,70 +52,106 @@ class Tokenizer:
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.added = {t["content"]: t["id"] for t in model.get("added_tokens") or []}
         self.bytes_of = {i: as_bytes(s) for s, i in vocab.items() if s not in self.added} | {i: s.encode() for s, i in self.added.items()}
+        self.text_of = {i: str(i) for i in self.bytes_of}
         self.id_of_byte = [vocab[c] for _, c in sorted(byte_letters().items())]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank_of: list[dict[int, int]] = [{}] * (max(vocab.values()) + 1)  # by first id, the rank of each second id
+        self.merged: list[int] = []  # by rank, the id that a merge gives
         for rank, pair in enumerate(model["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            if not self.rank_of[vocab[a]]:
+                self.rank_of[vocab[a]] = {}
+            self.rank_of[vocab[a]].setdefault(vocab[b], rank)
+            self.merged.append(vocab[a + b])
+        own = self.id_of_byte
+        self.rank_of_bytes = {(a, b): rank for a in range(256) for b in range(256) if (rank := self.rank_of[own[a]].get(own[b])) is not None}
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, Part] = {}
+        self.older: dict[str, Part] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one piece: merge the pair of lowest rank, leftmost first, until none is left."""
-        ids = [self.id_of_byte[b] for b in data]
+        """Ids of one piece: merge the pair of lowest rank, leftmost first, until none is left.
+
+        A queue entry is a rank with the pair's place behind it; it is stale if the pair at that place has
+        another rank by now, as happens once one of the two symbols was merged.
+        """
+        ids = list(map(self.id_of_byte.__getitem__, data))
         n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges, queue = self.merges, []
-        for i in range(n - 1):
-            if m := merges.get((ids[i], ids[i + 1])):
-                queue.append((m[0], i, m[1], ids[i], ids[i + 1]))
-        heapq.heapify(queue)
+        ranks = [*map(self.rank_of_bytes.get, zip(data, data[1:])), None]  # of the pair that begins at each place
+        shift = n.bit_length()
+        queue = [rank << shift | i for i, rank in enumerate(ranks) if rank is not None]
+        if not queue:
+            return ids
+        heapify(queue)
+        after, before = [*range(1, n + 1), n], list(range(-1, n))
+        rank_of, merged, place = self.rank_of, self.merged, (1 << shift) - 1
         while queue:
-            _, i, new, a, b = heapq.heappop(queue)
+            entry = heappop(queue)
+            i = entry & place
+            rank = entry >> shift
+            if ranks[i] != rank:
+                continue  # stale
+            new = ids[i] = merged[rank]
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # stale: one of the two symbols was merged meanwhile
-            ids[i], ids[j] = new, -1
+            ids[j], ranks[j] = -1, None
             k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(queue, (m[0], i, m[1], new, ids[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(queue, (m[0], h, m[1], ids[h], new))
+            before[k] = i
+            ranks[i] = rank = rank_of[new].get(ids[k]) if k < n else None
+            if rank is not None:
+                heappush(queue, rank << shift | i)
+            h = before[i]
+            if h >= 0:
+                ranks[h] = rank = rank_of[ids[h]].get(new)
+                if rank is not None:
+                    heappush(queue, rank << shift | h)
         return [x for x in ids if x >= 0]
 
-    def _plain(self, text: str, out: list[int]) -> None:
-        recent, older = self.recent, self.older
-        for piece in self.pieces.findall(text):
-            ids = recent.get(piece)
-            if ids is None:
-                ids = older.get(piece)
-                if ids is None:
-                    ids = tuple(self.merge(piece.encode()))
-                if len(piece) <= 64:
-                    if len(recent) >= CACHE:  # the common pieces move on, the others are forgotten
-                        self.older = older = recent
-                        self.recent = recent = {}
-                    recent[piece] = ids
-            out += ids
+    def _part(self, ids: list[int]) -> Part:
+        return array("i", ids).tobytes(), ",".join(map(self.text_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def _piece(self, piece: str) -> Part:
+        part = self.recent.get(piece) or self.older.get(piece)
+        if part is None:
+            ids = self.merge(piece.encode())
+            part = self._part(ids)
+        if len(piece) <= LONGEST:
+            if len(self.recent) >= CACHE:  # the common pieces move on, the others are forgotten
+                self.older, self.recent = self.recent, {}
+            self.recent[piece] = part
+        return part
+
+    def _plain(self, text: str) -> list[Part]:
+        """A text without added tokens."""
+        pieces = self.pieces.findall(text)
+        parts = list(map(self.recent.get, pieces))
+        for i in [i for i, part in enumerate(parts) if part is None]:
+            parts[i] = self._piece(pieces[i])
+        return parts
+
+    def parts(self, text: str | None) -> list[Part]:
+        """A text as coded parts."""
+        text = text or ""
+        if self.special is None or not any(t in text for t in self.added):
+            return self._plain(text) if text else []
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            if at < m.start():
+                out += self._plain(text[at : m.start()])
+            out.append(self._part([self.added[m[0]]]))
+            at = m.end()
+        return out + self._plain(text[at:]) if at < len(text) else out
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        at = 0
-        for m in self.special.finditer(text or "") if self.special else ():
-            self._plain(text[at : m.start()], out)
-            out.append(self.added[m[0]])
-            at = m.end()
-        self._plain((text or "")[at:], out)
-        return out
+        return ids_of(self.parts(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def ids_of(parts: list[Part]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(_IDS, parts)), np.int32)
+
+
 def load(path: str) -> str:
     """The text of a tokenizer file, read on the driver."""
     with open(path, encoding="utf-8") as file:
@@ -135,12 +176,12 @@ def with_tokens(df: DataFrame, spec: str, text: str = "text", ids: bool = True,
         for part in (batch.iloc[at : at + FRAME] for batch in batches for at in range(0, len(batch), FRAME)):
             rows = []
             for t in part:
-                got = own.encode(t)
-                row = [len(got)]
-                if ids:
-                    row.append(np.array(got, np.int32))
+                got = own.parts(t)
+                own_ids = ids_of(got)
+                row = [len(own_ids)] + [own_ids] * ids
                 if digests:
-                    row += [digest_ids(got), hashlib.sha256(own.decode(got).encode()).hexdigest()]
+                    decoded = b"".join(map(_BYTES, got)).decode("utf-8", "replace")
+                    row += [hashlib.sha256(",".join(map(_TEXT, got)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[n for n, _ in fields])
 

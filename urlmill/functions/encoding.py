@@ -12,18 +12,19 @@ _FORM_KEPT = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123
 
 
 def percent_encode(text: Column, which: str | frozenset[str]) -> Column:
-    """Percent-encodes all but the characters of a set (a name in ``charsets.SETS``, or the characters)."""
+    """Percent-encodes all but the characters of a set (a name in ``charsets.SETS``, or the characters).
+
+    Everything is form-encoded; then the sign of each escape that stays is escaped itself, and one
+    decoding takes back the others. Letters and digits are always kept.
+    """
     own = kept(which)
-    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
-    if "*" not in own:
-        out = F.replace(out, F.lit("*"), F.lit("%2A"))
-    for c in sorted(own - _FORM_KEPT - {"%"}):
-        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
-    for c in sorted((_FORM_KEPT - own) - {"*"}):
-        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    if "%" in own:
-        out = F.replace(out, F.lit("%25"), F.lit("%"))
-    return F.when(text.rlike(f"^{char_class(own)}*\\z"), text).otherwise(out)
+    back = "|".join(f"{ord(c):02X}" for c in sorted(own - _FORM_KEPT - {" "}))
+    out = F.regexp_replace(F.url_encode(text), f"%(?!{back})" if back else "%", "%25")
+    if " " not in own:
+        out = F.replace(out, F.lit("+"), F.lit("%2520"))
+    for c in sorted(set("*-._") - own):
+        out = F.replace(out, F.lit(c), F.lit(f"%25{ord(c):02X}"))
+    return F.when(text.rlike(f"^{char_class(own)}*\\z"), text).otherwise(F.url_decode(out))
 
 
 def encode_url_component(text: Column) -> Column:

@@ -17,7 +17,6 @@ _KINDS = {"port": T.IntegerType(), "opaque_path": T.BooleanType()}
 #: The record's type, as an object and as text.
 RECORD = T.StructType([T.StructField(n, _KINDS.get(n, T.StringType())) for n in FIELDS])
 DDL = RECORD.simpleString()
-PARTS = ("scheme", "scheme_sep", "username", "password", "host_start", "host", "port", "path_prefix", "path", "query", "fragment")
 
 
 def _or(c: Column, value: str = "") -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from urlmill.functions.batches import by_row, struct_of
 from urlmill.functions.pattern import COMPONENTS, Pattern, PatternError, process
 
 #: Selective components first, since a conjunction stops at the first that fails.
@@ -48,7 +47,7 @@ def groups(pattern: Pattern, name: str, value: Column) -> Column:
     return F.create_map(*items)
 
 
-def exec(pattern: Pattern, u: Column) -> Column:  # noqa: A001
+def execute(pattern: Pattern, u: Column) -> Column:
     """``struct<protocol: struct<input, groups>, ...>``; null without a match."""
     values = inputs(u)
     parts = [F.struct(values[n].alias("input"), groups(pattern, n, values[n]).alias("groups")).alias(n) for n in COMPONENTS]
@@ -68,16 +67,13 @@ def first_route(patterns: dict[str, Pattern], u: Column) -> Column:
 def init_inputs(init: Column) -> Column:
     """Rows that are dictionaries (a struct of the nine names) as matchable components; null for a bad one."""
 
-    @F.pandas_udf("struct<scheme:string,username:string,password:string,host:string,port:string,path:string,query:string,fragment:string,error:string>")
-    def canonical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_dict("records"):
-                try:
-                    got = dict.fromkeys(COMPONENTS, "") | process({k: v for k, v in r.items() if isinstance(v, str)}, pattern=False)
-                    rows.append((*[got[c] for c in COMPONENTS], None))
-                except PatternError as e:
-                    rows.append((*[None] * 8, str(e)))
-            yield pd.DataFrame(rows, columns=["scheme", "username", "password", "host", "port", "path", "query", "fragment", "error"], dtype=object)
-
-    return canonical(init)
+    names = ("scheme", "username", "password", "host", "port", "path", "query", "fragment", "error")
+
+    def canonical(r: dict | None) -> tuple:
+        try:
+            got = dict.fromkeys(COMPONENTS, "") | process({k: v for k, v in (r or {}).items() if isinstance(v, str)}, pattern=False)
+            return (*[got[c] for c in COMPONENTS], None)
+        except PatternError as e:
+            return (*[None] * len(COMPONENTS), str(e))
+
+    return by_row(struct_of(**dict.fromkeys(names, T.StringType())), canonical)(F.lit(True), init)

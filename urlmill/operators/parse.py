@@ -1,23 +1,28 @@
 """Parsing columns of URLs: native expressions for ordinary rows, the Arrow-batched kernel for the rest.
 
-The two ways are routed by ``filter`` and ``unionByName``, because a ``CASE`` would send every row to Python.
+Both ways are columns of one pass. The kernel is handed null in place of an ordinary row and gives null for it
+at once, so such rows cost Python nothing but their place in a batch; nothing is read twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urlmill.functions import idna, kernel
-
-from urlmill.functions.record import DDL, FIELDS, RECORD, default_port, origin, serialize_parts
+from urlmill.functions.batches import by_row, struct_of
+from urlmill.functions.charsets import FRAGMENT, PATH, SPECIAL_QUERY, USERINFO
+from urlmill.functions.encoding import percent_encode
+from urlmill.functions.record import DDL, FIELDS, RECORD, default_port, is_special_scheme, origin, serialize_parts
 
 #: Ordinary rows: printable ASCII, a special scheme with ``//``, no user, a plain domain, no backslash.
 ORDINARY = r"^(?i:https?|wss?|ftp)://[A-Za-z0-9._~!$&'()*+,;=-]+(?::[0-9]{0,5})?(?:[/?#][ -\[\]-~]*)?\z"
 AUTHORITY = r"^[A-Za-z]+://([^/?#]*)"
+#: Hosts by themselves that are plain domains.
+PLAIN_HOST = r"^[A-Za-z0-9._~!$&'()*+,;=-]+\z"
 
 
 def row_of(url: kernel.Url) -> tuple:
@@ -28,53 +33,20 @@ def failed(code: str) -> tuple:
     return (None,) * 11 + (code,)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=FIELDS, dtype=object)
-    out["port"], out["opaque_path"] = out["port"].astype("Int32"), out["opaque_path"].astype("boolean")
-    return out
-
-
-@F.pandas_udf(RECORD)
-def _parse_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = []
-        for t in texts:
-            try:
-                rows.append(row_of(kernel.parse_with_base(t, None)))
-            except kernel.UrlError as e:
-                rows.append(failed(str(e)))
-        yield _frame(rows)
-
-
-@F.pandas_udf(RECORD)
-def _parse_base_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    bases: dict[str, kernel.Url | str] = {}
-    for texts, own in batches:
-        rows = []
-        for t, b in zip(texts, own):
-            try:
-                if b is None:
-                    rows.append(row_of(kernel.parse_with_base(t, None)))
-                    continue
-                if b not in bases:
-                    if len(bases) > 50_000:
-                        bases.clear()
-                    try:
-                        bases[b] = kernel.parse(b)
-                    except kernel.UrlError as e:
-                        bases[b] = str(e)
-                if isinstance(bases[b], str):
-                    rows.append(failed(bases[b]))
-                else:
-                    rows.append(row_of(kernel.parse(t, bases[b]) if t is not None else kernel.parse_with_base(None, None)))
-            except kernel.UrlError as e:
-                rows.append(failed(str(e)))
-        yield _frame(rows)
-
-
-def url_parse(text: Column, base: Column | None = None) -> Column:
-    """Records by the kernel: complete, for any row. A base that fails gives its own code."""
-    return _parse_udf(text) if base is None else _parse_base_udf(text, base)
+def record_of(text: str | None, base: str | None = None) -> tuple:
+    try:
+        return row_of(kernel.parse_with_base(text, base))
+    except kernel.UrlError as e:
+        return failed(str(e))
+
+
+_parse = by_row(RECORD, record_of)
+
+
+def url_parse(text: Column, base: Column | None = None, where: Column | None = None) -> Column:
+    """Records by the kernel: complete, for any row. A base that fails gives its own code. where: null elsewhere."""
+    go = F.lit(True) if where is None else where
+    return _parse(go, text) if base is None else _parse(go, text, base)
 
 
 def trimmed(text: Column) -> Column:
@@ -89,14 +61,6 @@ def is_ordinary(text: Column) -> Column:
     return F.coalesce(text.rlike(ORDINARY) & ~host.rlike(r"(^|\.)xn--") & ~host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$") & ((digits == "") | (digits.try_cast("int") <= 65535)), F.lit(False))
 
 
-def _escaped(text: Column, marks: str) -> Column:
-    """ASCII text with these characters percent-encoded."""
-    out = text
-    for c in marks:
-        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    return F.when(text.rlike("[" + "".join(f"\\x{ord(c):02X}" for c in marks) + "]"), out).otherwise(text)
-
-
 def _walked(path: Column) -> Column:
     """A path without dot segments; only paths that have some are walked."""
     parts = F.split(F.substr(path, F.lit(2)), "/")
@@ -116,13 +80,21 @@ def native_parse(text: Column) -> Column:
     number = F.regexp_extract(place, ":([0-9]+)$", 1).try_cast("int")
     port = F.when(number == default_port(scheme), F.lit(None)).otherwise(number)
     rest = F.regexp_extract(text, r"^[A-Za-z]+://[^/?#]*(.*)$", 1)
-    fragment = F.when(rest.contains("#"), _escaped(F.regexp_extract(rest, "^[^#]*#(.*)$", 1), ' "<>`'))
+    fragment = F.when(rest.contains("#"), percent_encode(F.regexp_extract(rest, "^[^#]*#(.*)$", 1), FRAGMENT))
     body = F.regexp_extract(rest, "^([^#]*)", 1)
-    query = F.when(body.contains("?"), _escaped(F.regexp_extract(body, "^[^?]*[?](.*)$", 1), ' "<>\''))
+    query = F.when(body.contains("?"), percent_encode(F.regexp_extract(body, "^[^?]*[?](.*)$", 1), SPECIAL_QUERY))
     raw = F.regexp_extract(body, "^([^?]*)", 1)
-    path = _walked(_escaped(F.when(raw == "", F.lit("/")).otherwise(raw), ' "<>^`{}'))
-    own = {"scheme": scheme, "username": F.lit(""), "password": F.lit(""), "host": host, "host_type": F.lit("Domain"), "port": port.cast("int"), "path": path, "opaque_path": F.lit(False), "query": query, "fragment": fragment, "error": F.lit(None).cast("string")}
-    return F.struct(*[(serialize_parts(own) if n == "href" else own[n]).alias(n) for n in FIELDS])
+    path = _walked(percent_encode(F.when(raw == "", F.lit("/")).otherwise(raw), PATH))
+    own = {
+        "scheme": scheme, "username": F.lit(""), "password": F.lit(""), "host": host, "host_type": F.lit("Domain"), "port": port.cast("int"), "path": path,
+        "opaque_path": F.lit(False), "query": query, "fragment": fragment, "error": F.lit(None).cast("string"),
+    }
+    return _record(own)
+
+
+def _record(own: dict[str, Column]) -> Column:
+    """A record of its parts."""
+    return F.struct(*[(serialize_parts(own) if n == "href" else own[n]).alias(n) for n in FIELDS]).cast(DDL)
 
 
 def parse_urls(df: DataFrame, text: str, to: str = "url_record", route: bool = True) -> DataFrame:
@@ -130,14 +102,17 @@ def parse_urls(df: DataFrame, text: str, to: str = "url_record", route: bool = T
     if not route:
         return df.withColumn(to, url_parse(F.col(text)))
     cleaned = df.withColumn("__clean", trimmed(F.col(text)))
-    easy = is_ordinary(F.col("__clean"))
-    native = cleaned.where(easy).withColumn(to, native_parse(F.col("__clean")).cast(DDL))
-    hard = cleaned.where(~easy).withColumn(to, url_parse(F.col(text)))
-    return native.unionByName(hard).drop("__clean")
+    easy = cleaned.withColumn("__easy", is_ordinary(F.col("__clean")))
+    hard = easy.withColumn("__hard", url_parse(F.col(text), where=~F.col("__easy")))
+    return hard.withColumn(to, F.when(F.col("__easy"), native_parse(F.col("__clean"))).otherwise(F.col("__hard"))).drop("__clean", "__easy", "__hard")
 
 
 def can_parse(text: Column, base: Column | None = None) -> Column:
-    return url_parse(text, base)["error"].isNull()
+    """Whether a text is a URL; an ordinary text is one, whatever valid base it has."""
+    easy = is_ordinary(trimmed(text))
+    if base is not None:
+        easy = easy & (base.isNull() | is_ordinary(trimmed(base)))
+    return easy | F.coalesce(url_parse(text, base, ~easy)["error"].isNull(), F.lit(False))
 
 
 def strict_parse(text: Column, base: Column | None = None) -> Column:
@@ -146,104 +121,173 @@ def strict_parse(text: Column, base: Column | None = None) -> Column:
     return F.when(record["error"].isNull(), record).otherwise(F.raise_error(F.concat(F.lit("URL parse error: "), record["error"])).cast(DDL))
 
 
+def absolute(link: Column, base: Column) -> Column:
+    """The absolute text of a (trimmed) link on the record of an ordinary base; what it can't tell is no ordinary text."""
+    place = F.concat(base["scheme"], F.lit("://"), base["host"], F.when(base["port"].isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), base["port"].cast("string"))))
+    query = F.when(base["query"].isNull(), F.lit("")).otherwise(F.concat(F.lit("?"), base["query"]))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(link.startswith("//"), F.concat(base["scheme"], F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(place, link))
+        .when(link.startswith("?"), F.concat(place, base["path"], link))
+        .when((link == "") | link.startswith("#"), F.concat(place, base["path"], query, link))
+        .otherwise(F.concat(place, F.regexp_replace(base["path"], "[^/]*$", ""), link))
+    )
+
+
 def resolve_links(df: DataFrame, link: str, base: str, to: str = "url_record") -> DataFrame:
-    return df.withColumn(to, url_parse(F.col(link), F.col(base)))
+    """``df`` with the record of each link on its base. Ordinary links on ordinary bases are resolved by
+    built-in expressions, the others by the kernel; a null base is none."""
+    cleaned = df.withColumn("__base", trimmed(F.col(base))).withColumn("__link", trimmed(F.col(link)))
+    based = cleaned.withColumn("__on", F.when(is_ordinary(F.col("__base")), native_parse(F.col("__base"))))
+    # a scheme without // may stand for a relative link, and is left to the kernel by is_ordinary
+    whole = based.withColumn("__whole", F.when(F.col("__on").isNotNull(), absolute(F.col("__link"), F.col("__on"))))
+    easy = whole.withColumn("__easy", is_ordinary(F.col("__whole")))
+    hard = easy.withColumn("__hard", url_parse(F.col(link), F.col(base), ~F.col("__easy")))
+    done = hard.withColumn(to, F.when(F.col("__easy"), native_parse(F.col("__whole"))).otherwise(F.col("__hard")))
+    return done.drop("__base", "__link", "__on", "__whole", "__easy", "__hard")
 
 
 def origins(df: DataFrame, record: str = "url_record", to: str = "origin") -> DataFrame:
     """Origins, with those inside ``blob:`` URLs; only these go to the kernel again."""
     u = F.col(record)
-    is_blob = F.coalesce(u["scheme"] == "blob", F.lit(False))
-    plain = df.where(~is_blob).withColumn(to, origin(u))
-    inner = df.where(is_blob).withColumn("__inner", url_parse(u["path"]))
-    return plain.unionByName(inner.withColumn(to, origin(u, F.col("__inner"))).drop("__inner"))
+    inner = df.withColumn("__inner", url_parse(u["path"], where=u["scheme"] == "blob"))
+    return inner.withColumn(to, origin(u, F.col("__inner"))).drop("__inner")
+
+
+def _plain_domain(text: Column) -> Column:
+    """Whether a text is a host that is itself in lower case: no number in the end, no encoded label."""
+    low = F.lower(text)
+    return text.rlike(PLAIN_HOST) & ~low.rlike(r"(^|\.)xn--") & ~low.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+
+
+def _changes(u: Column, part: str, value: Column) -> tuple[Column, dict[str, Column], Column]:
+    """Setting a part by built-in expressions: whether a (valid) record and a printable ASCII value are
+    covered, the parts that change, and whether the value is accepted."""
+    none, yes = F.lit(None).cast("string"), F.lit(True)
+    web = is_special_scheme(u) & (u["scheme"] != "file") & (u["host"] != "")
+    placed = (F.coalesce(u["host"], F.lit("")) != "") & (u["scheme"] != "file")
+    if part == "hash":
+        return yes, {"fragment": F.when(value != "", percent_encode(F.regexp_replace(value, "^#", ""), FRAGMENT))}, yes
+    if part == "search":
+        return is_special_scheme(u), {"query": F.when(value != "", percent_encode(F.regexp_replace(value, r"^\?", ""), SPECIAL_QUERY))}, yes
+    if part in ("username", "password"):
+        return yes, {part: F.when(placed, percent_encode(value, USERINFO)).otherwise(u[part])}, placed
+    if part == "pathname":
+        return web & ~value.contains("\\"), {"path": _walked(percent_encode(F.concat(F.lit("/"), F.regexp_replace(value, "^/", "")), PATH))}, yes
+    if part == "port":
+        digits = F.regexp_replace(F.regexp_extract(value, "^([0-9]*)", 1), "^0+(?=.)", "")
+        number = F.when(F.length(digits) <= 5, digits.try_cast("int"))
+        good = placed & ((value == "") | F.coalesce(number <= 65535, F.lit(False)))
+        return yes, {"port": F.when(~good, u["port"]).when((value == "") | (number == default_port(u["scheme"])), F.lit(None).cast("int")).otherwise(number)}, good
+    if part == "protocol":
+        scheme = F.lower(F.regexp_extract(value, r"^([A-Za-z][A-Za-z0-9+.\-]*)(?::|\z)", 1))
+        crossing = scheme.isin("http", "https", "ws", "wss", "ftp", "file") != is_special_scheme(u)
+        to_file = (scheme == "file") & ((u["username"] != "") | (u["password"] != "") | u["port"].isNotNull())
+        from_file = (u["scheme"] == "file") & (F.coalesce(u["host"], F.lit("")) == "")
+        good = (scheme != "") & ~crossing & ~to_file & ~from_file
+        port = F.when(good & (u["port"] == default_port(scheme)), F.lit(None).cast("int")).otherwise(u["port"])
+        return yes, {"scheme": F.when(good, scheme).otherwise(u["scheme"]), "port": port}, good
+    if part == "hostname":
+        return web & _plain_domain(value), {"host": F.lower(value), "host_type": F.lit("Domain")}, yes
+    if part == "host":
+        name, digits = F.regexp_extract(value, "^([^:]*)", 1), F.regexp_extract(value, ":([0-9]+)$", 1)
+        number = digits.try_cast("int")
+        port = F.when(digits == "", u["port"]).when(number == default_port(u["scheme"]), F.lit(None).cast("int")).otherwise(number)
+        easy = value.rlike("^[^:]+(:[0-9]{1,5})?\\z") & _plain_domain(name) & ((digits == "") | (number <= 65535))
+        return web & easy, {"host": F.lower(name), "host_type": F.lit("Domain"), "port": port}, yes
+    return F.lit(False), {"fragment": none}, yes
+
+
+def _set_by_kernel(part: str):
+    kind = struct_of(url=RECORD, accepted=T.BooleanType())
+
+    def change(r: dict | None, value: str | None) -> tuple:
+        r = r or dict.fromkeys(FIELDS)
+        valid = r["error"] is None and r["href"] is not None
+        parts = [r[n] for n in FIELDS[1:-1]]
+        url = kernel.Url(*parts[:7], bool(parts[7]), *parts[8:]) if valid else kernel.Url()
+        done = value is not None and (valid or part == "href") and kernel.SETTERS[part](url, value)
+        return (row_of(url) if valid or done else failed(r["error"])), bool(done)
+
+    return by_row(kind, change)
 
 
 def set_part(record: Column, part: str, value: Column) -> Column:
     """``struct(url, accepted)`` after setting a part (``href protocol username password host hostname port
-    pathname search hash``); a failed record refuses all but ``href``."""
+    pathname search hash``); a failed record refuses all but ``href``.
+
+    Ordinary values are set by built-in expressions, the others by the kernel.
+    """
     if part not in kernel.SETTERS:
         raise ValueError(f"no such part: {part}")
+    if part == "href":
+        clean = trimmed(value)
+        easy = is_ordinary(clean)
+        own = F.struct(native_parse(clean).alias("url"), F.lit(True).alias("accepted"))
+    else:
+        covered, changes, accepted = _changes(record, part, value)
+        easy = F.coalesce(record["error"].isNull() & record["href"].isNotNull() & value.rlike(r"^[ -~]*\z") & covered, F.lit(False))
+        own = F.struct(_record({n: changes.get(n, record[n]) for n in FIELDS}).alias("url"), accepted.alias("accepted"))
+    return F.when(easy, own).otherwise(_set_by_kernel(part)(~easy, record, value))
 
-    @F.pandas_udf(f"struct<url:{DDL},accepted:boolean>")
-    def change(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for records, values in batches:
-            rows, flags = [], []
-            for r, v in zip(records.itertuples(index=False), values):
-                valid = r.error is None and r.href is not None
-                url = kernel.Url(r.scheme, r.username, r.password, r.host, r.host_type, None if pd.isna(r.port) else int(r.port), r.path, bool(r.opaque_path), r.query, r.fragment) if valid else kernel.Url()
-                done = v is not None and (valid or part == "href") and kernel.SETTERS[part](url, v)
-                rows.append(row_of(url) if valid or done else failed(r.error))
-                flags.append(bool(done))
-            out = pd.DataFrame({"accepted": flags})
-            out["url"] = _frame(rows).astype(object).where(lambda d: d.notna(), None).to_dict("records")
-            yield out[["url", "accepted"]]
 
-    return change(record, value)
+def _host_of(text: str) -> tuple:
+    try:
+        return (*kernel.parse_host(text), None) if text else (None, None, "host_missing")
+    except kernel.UrlError as e:
+        return None, None, str(e)
 
 
-def url_host(text: Column) -> Column:
-    """``struct(host, host_type, error)`` of a host by itself, as in a special URL."""
-
-    @F.pandas_udf("struct<host:string,host_type:string,error:string>")
-    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for t in batch:
-                try:
-                    rows.append((*(kernel.parse_host(t) if t else (None, None)), None if t else "host_missing"))
-                except kernel.UrlError as e:
-                    rows.append((None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["host", "host_type", "error"], dtype=object)
-
-    return parsed(text)
+_HOST = struct_of(host=T.StringType(), host_type=T.StringType(), error=T.StringType())
+_parse_host = by_row(_HOST, lambda t: _host_of(t or ""))
 
 
-def domain_to_ascii(text: Column, strict: bool = False) -> Column:
-    """The ASCII form of a domain; null on failure."""
+def url_host(text: Column) -> Column:
+    """``struct(host, host_type, error)`` of a host by itself, as in a special URL; plain domains by built-in expressions."""
+    easy = F.coalesce(_plain_domain(text), F.lit(False))
+    own = F.struct(F.lower(text).alias("host"), F.lit("Domain").alias("host_type"), F.lit(None).cast("string").alias("error"))
+    return F.when(easy, own).otherwise(_parse_host(~easy, text))
 
-    @F.pandas_udf("string")
-    def converted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if t is None else idna.to_ascii(t, strict) for t in batch], dtype=object)
 
-    return converted(text)
+def domain_to_ascii(text: Column, strict: bool = False, check_hyphens: bool | None = None, std3: bool | None = None, dns_length: bool | None = None) -> Column:
+    """The ASCII form of a domain; null on failure. The last three, by default as ``strict`` says, can be chosen one by one."""
+    rules = idna.options(strict, check_hyphens, std3, dns_length)
+    return by_row(T.StringType(), lambda t: idna.to_ascii(t, rules))(text.isNotNull(), text)
 
 
 def domain_to_unicode(text: Column, strict: bool = False) -> Column:
-    """``struct(value, ok)``: the Unicode form, and whether it is without fault."""
+    """``struct(value, ok, faults)``: the Unicode form, whether it is without fault, and the names of the faults met."""
+    kind = struct_of(value=T.StringType(), ok=T.BooleanType(), faults=T.ArrayType(T.StringType()))
+    rules = idna.options(strict)
 
-    @F.pandas_udf("struct<value:string,ok:boolean>")
-    def converted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(None, None) if t is None else idna.to_unicode(t, strict) for t in batch], columns=["value", "ok"])
+    def convert(t: str) -> tuple:
+        value, faults = idna.to_unicode(t, rules)
+        return value, not faults, sorted(faults)
 
-    return converted(text)
+    return by_row(kind, convert)(text.isNotNull(), text)
 
 
 def nfc(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def normal(batch: pd.Series) -> pd.Series:
-        return batch.str.normalize("NFC")
+    """Canonical composition; ASCII is in that form already."""
+    easy = F.coalesce(text.rlike(r"^[\x00-\x7F]*\z"), F.lit(True))
+    return F.when(easy, text).otherwise(by_row(T.StringType(), lambda t: unicodedata.normalize("NFC", t))(~easy, text))
 
-    return normal(text)
 
+def _ipv6_of(text: str | None) -> tuple:
+    try:
+        own = kernel.ipv6(text or "")
+        return own, kernel.ipv6_text(own), None
+    except kernel.UrlError as e:
+        return None, None, str(e)
 
-def ipv6_canonical(text: Column) -> Column:
-    """``struct(pieces, text, error)`` of an IPv6 address without brackets."""
 
-    @F.pandas_udf("struct<pieces:array<int>,text:string,error:string>")
-    def parsed(batch: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in batch:
-            try:
-                own = kernel.ipv6(t or "")
-                rows.append((own, kernel.ipv6_text(own), None))
-            except kernel.UrlError as e:
-                rows.append((None, None, str(e)))
-        return pd.DataFrame(rows, columns=["pieces", "text", "error"], dtype=object)
+_parse_ipv6 = by_row(struct_of(pieces=T.ArrayType(T.IntegerType()), text=T.StringType(), error=T.StringType()), _ipv6_of)
 
-    return parsed(text)
+
+def ipv6_canonical(text: Column) -> Column:
+    """``struct(pieces, text, error)`` of an IPv6 address without brackets."""
+    return _parse_ipv6(F.lit(True), text)
 
 
 def ipv4_value(text: Column) -> Column:
@@ -274,7 +318,8 @@ def ipv4_text(value: Column) -> Column:
 
 def register(spark) -> None:
     """The record functions by name, for SQL: ``url_parse(text)`` and ``url_parse_base(text, base)``."""
-    spark.udf.register("url_parse", _parse_udf)
-    spark.udf.register("url_parse_base", _parse_base_udf)
-
-
+    text = lambda f: by_row(RECORD, f)
+    spark.udf.register("__url_parse", text(record_of))
+    record = DDL.replace("struct<", "STRUCT<", 1)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION url_parse(t STRING) RETURNS {record} RETURN __url_parse(true, t)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION url_parse_base(t STRING, b STRING) RETURNS {record} RETURN __url_parse(true, t, b)")

@@ -44,10 +44,15 @@ def parse_rules(lines: DataFrame) -> DataFrame:
 
 
 def rules(lines: DataFrame) -> DataFrame:
-    """The rule table: valid rules, of the same suffix the last line's."""
+    """The rule table: valid rules, of the same suffix the last line's.
+
+    It is made once, here: up to ``MAX_BROADCAST`` rules come to the driver and are a constant from then on.
+    """
     last = Window.partitionBy("suffix").orderBy(F.desc("line_no"))
     good = parse_rules(lines).where("error IS NULL").withColumn("r", F.row_number().over(last)).where("r = 1")
-    return good.select("suffix", "depth", "kind", "section", "line_no")
+    table = good.select("suffix", "depth", "kind", "section", "line_no")
+    few = table.limit(MAX_BROADCAST + 1).collect()
+    return lines.sparkSession.createDataFrame(few, RULES) if len(few) <= MAX_BROADCAST else table
 
 
 def load_status(lines: DataFrame) -> DataFrame:

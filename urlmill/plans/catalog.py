@@ -17,6 +17,7 @@ from urlmill.functions import params as P
 from urlmill.functions import record as R
 from urlmill.functions.pattern import compile_pattern
 from urlmill.operators import filepath, match, parse, suffixes
+from urlmill.plans import cases
 
 #: A small rule table for the pages' hosts; any rule file of the public format is read by ``suffixes.read_lines``.
 RULE_TEXT = """// ===BEGIN ICANN DOMAINS===
@@ -208,8 +209,8 @@ _IP = "concat('0x', lower(hex(page_id % 256)), '.', page_id % 65536)"
 add("ipv4_canonical", "SELECT page_id, (page_id % 256) * 16777216 + page_id % 65536 AS value, concat(page_id % 256, '.0.', (page_id % 65536) // 256, '.', page_id % 256) AS text FROM pages")(
     lambda s, d: _pages(s, d).withColumn("v", parse.ipv4_value(F.concat(F.lit("0x"), F.lower(F.hex(F.col("page_id") % 256)), F.lit("."), (F.col("page_id") % 65536).cast("string")))).select("page_id", F.col("v").alias("value"), parse.ipv4_text(F.col("v")).alias("text")))
 add("ipv4_octal", "SELECT page_id, page_id % 512 AS value FROM pages")(lambda s, d: _pages(s, d).select("page_id", parse.ipv4_value(F.concat(F.lit("0"), F.conv((F.col("page_id") % 512).cast("string"), 10, 8))).alias("value")))
-add("ipv6_canonical", "SELECT page_id, concat('1::', CASE WHEN page_id % 65536 = 0 THEN '0' ELSE lower(hex(page_id % 65536)) END, ':0') AS text FROM pages")(
-    lambda s, d: _pages(s, d).select("page_id", parse.ipv6_canonical(F.concat(F.lit("0001:0:0:0:0:0:"), F.hex(F.col("page_id") % 65536), F.lit(":0")))["text"].alias("text")).withColumn("text", F.regexp_replace("text", "^1::$", "1::0:0")))
+add("ipv6_canonical", "SELECT page_id, CASE WHEN page_id % 65536 = 0 THEN '1::' ELSE concat('1::', lower(hex(page_id % 65536)), ':0') END AS text FROM pages")(
+    lambda s, d: _pages(s, d).select("page_id", parse.ipv6_canonical(F.concat(F.lit("0001:0:0:0:0:0:"), F.hex(F.col("page_id") % 65536), F.lit(":0")))["text"].alias("text")))
 add("url_host", "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, 'Domain' AS host_type, NULL::VARCHAR AS error FROM pages")(
     lambda s, d: _pages(s, d).withColumn("h", parse.url_host(F.upper(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)))).select("page_id", "h.*"))
 add("domain_to_ascii", "SELECT page_id, concat('xn--mnchen-3ya.', lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))) AS ascii FROM pages")(
@@ -245,7 +246,7 @@ add("psl_load_status", "SELECT true AS ok")(lambda s, d: suffixes.load_status(su
 _P = "https://:sub.:name.example.:tld/:lang/:id(\\d+){.:ext}?"
 on_pages("pattern_test", lambda u: {"hit": match.test(compile_pattern(_P + "?*#*"), u)}, U + r"SELECT page_id, scheme = 'https' AND regexp_matches(host, '^[^.]+\.[^.]+\.example\.[^.]+$') AND regexp_matches(path, '^/[^/]+/\d+(\.[^/]+)?$') AS hit FROM u")
 add("pattern_exec_groups", U + r"SELECT page_id, split_part(host, '.', 1) AS sub, split_part(path, '/', 2) AS lang, regexp_extract(path, '^/[^/]+/(\d+)', 1) AS id, nullif(regexp_extract(path, '\.([^/]+)$', 1), '') AS ext FROM u WHERE scheme = 'https' AND regexp_matches(host, '^[^.]+\.[^.]+\.example\.[^.]+$') AND regexp_matches(path, '^/[^/]+/\d+(\.[^/]+)?$')")(
-    lambda s, d: _records(s, d).withColumn("m", match.exec(compile_pattern(_P + "?*#*"), F.col("u"))).where("m IS NOT NULL").select("page_id", F.col("m.hostname.groups")["sub"].alias("sub"), *[F.col("m.pathname.groups")[g].alias(g) for g in ("lang", "id", "ext")]))
+    lambda s, d: _records(s, d).withColumn("m", match.execute(compile_pattern(_P + "?*#*"), F.col("u"))).where("m IS NOT NULL").select("page_id", F.col("m.hostname.groups")["sub"].alias("sub"), *[F.col("m.pathname.groups")[g].alias(g) for g in ("lang", "id", "ext")]))
 on_pages("pattern_router", lambda u: {"routes": F.array_join(match.route({n: compile_pattern(p + "\\?*#*") for n, p in ROUTES.items()}, u), ",")},
          U + r"SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(path, '^/en/[^/]+$') THEN 'english' END, CASE WHEN regexp_matches(path, '^/de/[^/]+$') THEN 'german' END, CASE WHEN host LIKE 'blog.%' THEN 'blog' END, CASE WHEN regexp_matches(path, '^/[^/]+/\d+\.html$') THEN 'dot_html' END) AS routes FROM u")
 add("pattern_components", r"SELECT 'http{s}?' AS protocol, '*' AS username, '*' AS hostname, '' AS port, '/:lang/:name(\d+).html' AS pathname, true AS has_regexp_groups")(
@@ -261,10 +262,14 @@ add("path_from_file_url", r"SELECT page_id, concat('/d ', page_id) AS posix, con
 # Compositions over the reference operators: joins, grouping, windows and sets are Spark's own
 
 
-@add("url_equijoin", "SELECT a.page_id AS a, b.page_id AS b FROM pages a JOIN pages b ON split_part(a.url, '#', 1) = split_part(b.url, '#', 1) AND a.page_id < b.page_id")
+@add("url_equijoin", "SELECT page_id, page_id % 50 AS site FROM pages WHERE page_id % 50 < 30")
 def _equijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _records(spark, sf_dir).select("page_id", R.serialize(F.col("u"), True).alias("key"))
-    return own.alias("a").join(own.alias("b"), "key").where("a.page_id < b.page_id").select(F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"))
+    """Pages, under URLs written in different ways, met with a list of 30 canonical URLs."""
+    site = (F.col("page_id") % 50).cast("string")
+    odd = F.concat(F.lit("HTTP://S"), site, F.lit(".test:80/a/../b c#f"), F.col("page_id").cast("string"))
+    known = spark.range(30).select(F.col("id").alias("site"), F.concat(F.lit("http://s"), F.col("id").cast("string"), F.lit(".test/b%20c")).alias("href"))
+    pages = parse.parse_urls(_pages(spark, sf_dir).select("page_id", odd.alias("odd")), "odd", "u")
+    return pages.join(F.broadcast(known), R.serialize(F.col("u"), True) == F.col("href")).select("page_id", "site")
 
 
 add("url_semi_allowlist", _HOSTS + " SELECT page_id FROM d WHERE suffix = 'example.org'")(lambda s, d: _suffixed(s, d).join(F.broadcast(s.createDataFrame([("example.org",)], "suffix string")), "suffix", "left_semi").select("page_id"))
@@ -293,8 +298,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return _Q | cases.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | cases.oracle_sql()

@@ -182,8 +182,8 @@ def url_hash(u: Column) -> Column:
 def part_pos(u: Column, name: str, with_separator: bool = False) -> Column:
     """Where a part begins and ends in the href; absent tail parts are at its end.
 
-    with_separator: from the separator in front of it (``//``, ``:``, ``?``, ``#``), and the ``:`` behind the
-    scheme or the ``@`` behind the user information.
+    with_separator: the scheme with its ``:``, and query and fragment with their marks unless nothing
+    follows these, as in the protocol, search and hash; it makes no difference to other parts.
     """
     n = lambda c: F.coalesce(F.length(c.cast("string")), F.lit(0))
     one = lambda yes: F.when(yes, F.lit(1)).otherwise(F.lit(0))
@@ -205,11 +205,13 @@ def part_pos(u: Column, name: str, with_separator: bool = False) -> Column:
     query_end = query_begin + n(u["query"])
     hash_begin = query_end + one(u["fragment"].isNotNull())
     total = hash_begin + n(u["fragment"])
-    zero = F.lit(0)
     bounds = {
-        "scheme": (zero, scheme_end, zero, scheme_end + 1), "username": (user_begin, user_end, user_begin, user_end), "password": (pass_begin, pass_end, user_end, at),
-        "host": (at, host_end, at, host_end), "port": (port_begin, port_end, host_end, port_end), "path": (path_begin, path_end, path_begin, path_end),
-        "query": (query_begin, query_end, path_end, query_end), "fragment": (hash_begin, total, query_end, total),
+        "scheme": (F.lit(0), scheme_end), "username": (user_begin, user_end), "password": (pass_begin, pass_end), "host": (at, host_end),
+        "port": (port_begin, port_end), "path": (path_begin, path_end), "query": (query_begin, query_end), "fragment": (hash_begin, total),
     }
-    a, b, c, d = bounds[name]
-    return F.struct((c if with_separator else a).cast("int").alias("begin"), (d if with_separator else b).cast("int").alias("end"))
+    begin, end = bounds[name]
+    if with_separator and name == "scheme":
+        end = end + one(n(u["scheme"]) > 0)
+    if with_separator and name in ("query", "fragment"):
+        begin = begin - one(end > begin)
+    return F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"))

@@ -221,6 +221,23 @@ def _kinds_of_url(text: Column) -> tuple[Column, ...]:
     return (*[f(u) for f in told], R.username(u), R.password(u))
 
 
+_PARTS = ("scheme", "username", "password", "host", "port", "path", "query", "fragment")
+_PLACES = {
+    ("ftp://ab:c@site:77/p?qq#f",): ("0-3", "6-8", "9-10", "11-15", "16-18", "18-20", "21-23", "24-25", "0-4", "20-23", "23-25"),
+    ("https://site/p?#",): ("0-5", "8-8", "8-8", "8-12", "12-12", "12-14", "15-15", "16-16", "0-6", "15-15", "16-16"),
+    ("wss://u@site/",): ("0-3", "6-7", "7-7", "8-12", "12-12", "12-13", "13-13", "13-13", "0-4", "13-13", "13-13"),
+    ("x-y:/.//p#ff",): ("0-3", "4-4", "4-4", "4-4", "4-4", "6-9", "9-9", "10-12", "0-4", "9-9", "9-12"),
+    ("mailto:x?q",): ("0-6", "7-7", "7-7", "7-7", "7-7", "7-8", "9-10", "10-10", "0-7", "8-10", "10-10"),
+}
+
+
+@on_cases("url_part_places", " ".join(_PARTS) + " protocol search hash", _PLACES)
+def _places(text: Column) -> tuple[Column, ...]:
+    u = parse.url_parse(text)
+    told = lambda p, sep=False: (lambda at: F.concat_ws("-", at["begin"].cast("string"), at["end"].cast("string")))(R.part_pos(u, p, sep))
+    return (*[told(p) for p in _PARTS], *[told(p, True) for p in ("scheme", "query", "fragment")])
+
+
 # Hosts and addresses
 
 

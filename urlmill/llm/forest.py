@@ -10,9 +10,15 @@ each shard, and a shard returns a query's best ``k`` only. ``candidate_share`` s
 be gathered: vectors without any structure need a large share for a recall of 0.9, clustered ones little.
 
 Inner products of vectors of any length become angles by one more component, which makes all rows equally
-long. Defined cases: null, empty or zero vectors and such with null or non-finite components take no
-part; neither do null ids; vectors of different dimension do not meet; equal scores are ordered by id;
-of a query's own id no row is a candidate; fewer candidates than ``k`` give fewer rows.
+long. For the trees and for a first rough ranking, vectors are scaled by powers of two, so that neither
+very large nor very small ones leave the range of numbers; scores are those of the vectors as given.
+
+Defined cases: null, empty or zero vectors and such with null or non-finite components take no part;
+neither do null ids; vectors of different dimension do not meet; equal scores are ordered by id, and a
+score beyond the range of doubles is infinite, or last where it is no number; of a query's own id no
+row is a candidate; rows of a repeated id that are equal count once as results; of queries of a repeated
+id the best of all results are kept; fewer candidates than ``k`` give fewer rows. ``candidate_share=1``
+is exact.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 
 TREES, BITS, SHARE = 12, 32, 0.55
 SHARD_ROWS, QUERY_ROWS, SEED = 8192, 4096, 20240229
+#: Products below it lose digits.
+TINY = 1e-290
 
 
 def planes(dim: int, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -80,49 +88,64 @@ def _extended(points: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([scaled, np.sqrt(np.maximum(1 - (scaled**2).sum(axis=1), 0))[:, None]])
 
 
-def _best(ids: np.ndarray, points: np.ndarray, rough: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best places. rough (single precision) only leaves out what its own error cannot lift into the best."""
-    if len(rough) > k:
-        slack = 4 * len(query) * np.finfo(np.float32).eps * np.linalg.norm(query) * np.linalg.norm(points, axis=1).max()
-        keep = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - slack)
-    else:
-        keep = np.arange(len(rough))
-    score = (points[keep] * query).sum(axis=1)
-    top = np.lexsort((ids[keep], -score))[:k]
+def _best(ids: np.ndarray, points: np.ndarray, rough: np.ndarray, slack: float, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best places. rough only leaves out what its own error, at most ``slack``, cannot lift into the best."""
+    keep = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - slack) if len(rough) > k else np.arange(len(rough))
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = (points[keep] * query).sum(axis=1)
+        if not np.isfinite(score).all() or np.abs(score).min(initial=1.0) < TINY:  # rounding may make ties
+            keep = np.arange(len(rough))
+            score = (points * query).sum(axis=1)
+    top = np.lexsort((ids[keep], -np.where(np.isnan(score), -np.inf, score)))[:k]
     return keep[top], score[top]
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, bits: int = BITS, candidate_share: float = SHARE, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def _scaled(x: np.ndarray, exponent: int) -> np.ndarray:
+    """``x`` over a power of two, in two steps, as one may be out of range."""
+    half = exponent // 2
+    return np.ldexp(np.ldexp(x, -half), half - exponent)
+
+
+def search(
+    df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, bits: int = BITS,
+    candidate_share: float = SHARE, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
+) -> DataFrame:
     """Rows ``query_id, rank, vec_id, score``: the ``k`` nearest rows of ``df`` that each query finds."""
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
-    usable = F.coalesce(F.col(key).isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda v: v != 0), F.lit(False))
-    of = lambda d: d.where(usable).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows, asked = of(df), of(queries)
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    facts = rows.agg(F.count("*").alias("n"), F.max(squares).alias("longest")).first()
+    own = lambda d: d.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    usable = F.coalesce(F.col("id").isNotNull() & F.forall("v", finite) & F.exists("v", lambda v: v != 0), F.lit(False))
+    rows, asked = own(df).where(usable), own(queries).where(usable)
+    top = F.array_max(F.transform("v", F.abs))
+    length = F.log2(top) + F.log2(F.aggregate(F.transform("v", lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x)) / 2
+    facts = rows.agg(F.count("*").alias("n"), F.max(length).alias("longest")).first()
     n_queries = asked.count()
     shards, parts = max(1, -(-facts["n"] // shard_rows)), max(1, -(-n_queries // query_rows))
-    longest = float(facts["longest"] or 1.0) ** 0.5
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    index = rows.select("id", "v", F.size("v").alias("dim"), deal(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    ask = asked.select("id", "v", F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), deal(parts).alias("part"))
+    exponent = int(np.ceil(facts["longest"] or 0.0))
+    longest = 2.0 ** ((facts["longest"] or 0.0) - exponent)  # of the scaled rows
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = rows.select("id", "v", F.size("v").alias("dim"), deal(shards).alias("shard"), each(parts).alias("part"))
+    ask = asked.select("id", "v", F.size("v").alias("dim"), each(shards).alias("shard"), deal(parts).alias("part"))
 
     def find(items: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(items) and len(wanted):
             ids, points = items["id"].to_numpy(), np.stack(items["v"].to_numpy()).astype(float)
             mine, asking = wanted["id"].to_numpy(), np.stack(wanted["v"].to_numpy()).astype(float)
-            forest = Forest(_extended(points, longest), trees, bits)
-            length = np.linalg.norm(asking, axis=1, keepdims=True)
-            single = points.astype(np.float32)
-            turned = np.hstack([asking / length, np.zeros((len(asking), 1))])
-            for q, found in enumerate(forest.candidates(turned, max(k + 1, int(candidate_share * len(points))))):
+            small = _scaled(points, exponent)
+            forest = Forest(_extended(small, longest), trees, bits)
+            unit = _scaled(asking.T, np.frexp(np.abs(asking).max(axis=1))[1]).T
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            single, slack = small.astype(np.float32), 4 * asking.shape[1] * np.finfo(np.float32).eps * longest
+            turned = np.hstack([unit, np.zeros((len(unit), 1))])
+            for q, found in enumerate(forest.candidates(turned, max(k + 1, int(np.ceil(candidate_share * len(points)))))):
                 found = found[ids[found] != mine[q]]
-                at, score = _best(ids[found], points[found], single[found] @ asking[q].astype(np.float32), asking[q], k)
+                at, score = _best(ids[found], points[found], single[found] @ unit[q].astype(np.float32), slack, asking[q], k)
                 out.append(pd.DataFrame({"query_id": mine[q], "vec_id": ids[found[at]], "score": score}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     by = ("dim", "shard", "part")
     got = index.groupBy(*by).cogroup(ask.groupBy(*by)).applyInPandas(find, "query_id long, vec_id long, score double")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    no_number = F.isnan("score")
+    nearest = Window.partitionBy("query_id").orderBy(no_number, F.desc("score"), "vec_id")
     return got.distinct().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,8 @@ CATEGORIES = ("low_quality", "toxic")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where the public tokenizer files are; ``URLMILL_TOKENIZERS`` names another folder."""
-    return os.path.join(os.environ.get("URLMILL_TOKENIZERS", "/opt/tokenizers"), name)
+    """Where a public tokenizer's file is."""
+    return public_tokenizers.path(name)
 
 
 def category_labels(labels: DataFrame) -> DataFrame:
@@ -40,8 +40,9 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, weights, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return rated.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(weights.domains)], "rate", "copies")
+    rated, weights, facts = mixing.mix(table(spark, sf_dir, "documents"))
+    posterior = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(weights.domains)]
+    return rated.select("doc_id", "tokens", *posterior, "rate", "copies", F.lit(facts["residual"]).alias("residual"))
 
 
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,8 @@ def oracle_sql() -> dict[str, str]:
 def _licenses_sql() -> str:
     """Brute force over every line and template."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    templates = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))}, {licenses.needed(len(set(t.split())))})" for label, t in licenses.TEMPLATES)
+    sets = [(label, sorted(set(t.split()))) for label, t in licenses.TEMPLATES]
+    templates = ", ".join(f"({i}, '{label}', {quoted(words)}, {licenses.needed(len(words))})" for i, (label, words) in enumerate(sets))
     gap = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'"
     low = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = lambda c: f"list_filter(string_split(regexp_replace({low(c)}, {gap}), ' '), lambda x: x <> '')"
@@ -96,9 +98,11 @@ def _licenses_sql() -> str:
     WITH texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
     lines AS (SELECT t, unnest(string_split(t, chr(10))) AS line FROM texts),
     blocks AS (SELECT t, list_distinct({split("line")}) AS b FROM lines),
-    templates(label, words, needed) AS (VALUES {templates}),
-    met AS (SELECT t, label, len(list_intersect(b, words)) / len(words)::DOUBLE AS share FROM blocks, templates WHERE len(list_intersect(b, words)) >= needed),
-    best AS (SELECT t, list(DISTINCT label) AS more, max(share) AS best FROM met GROUP BY t),
+    templates(no, label, words, needed) AS (VALUES {templates}),
+    met AS (SELECT t, no, label, max(len(list_intersect(b, words))) AS shared, len(any_value(words)) AS size FROM blocks, templates
+            WHERE len(list_intersect(b, words)) >= needed GROUP BY t, no, label),
+    ranked AS (SELECT *, label LIKE '{licenses.CLOSEST}%' AS close, row_number() OVER (PARTITION BY t, label LIKE '{licenses.CLOSEST}%' ORDER BY 2 * shared - size DESC, label DESC) AS place FROM met),
+    best AS (SELECT t, list(DISTINCT label) FILTER (WHERE NOT close OR place = 1) AS more, max(shared / size::DOUBLE) AS best FROM ranked GROUP BY t),
     own AS (SELECT t, {split("t")} AS w FROM texts),
     based AS (SELECT t, len(w) AS n_words, {places} AS places FROM own),
     told AS (SELECT t, n_words, len(places) AS n_base, list_transform(places, lambda p: p.at) AS places_at, list_distinct(list_transform(places, lambda p: p.label)) AS base FROM based)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from urlmill.llm.common import cut
 
-BLOCK = 1024
+#: Lengths of one block: one task sorts a block's lengths, and one task the blocks.
+BLOCK = 128
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
@@ -29,11 +30,15 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     hist = cut(hist)  # read twice below; without a cut the texts would be encoded for each reading
     own = hist.withColumn("block", F.floor(F.col("n_tokens") / block)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     by_block = own.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("tokens").alias("bt"))
-    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per 1024 lengths
+    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block of lengths
     total = Window.partitionBy()
-    blocks = by_block.select("block", F.coalesce(F.sum("bd").over(later), F.lit(0)).alias("ld"), F.coalesce(F.sum("bt").over(later), F.lit(0)).alias("lt"), F.sum("bd").over(total).alias("total_docs"), F.sum("bt").over(total).alias("total_tokens"))
+    blocks = by_block.select(
+        "block", F.coalesce(F.sum("bd").over(later), F.lit(0)).alias("ld"), F.coalesce(F.sum("bt").over(later), F.lit(0)).alias("lt"),
+        F.sum("bd").over(total).alias("total_docs"), F.sum("bt").over(total).alias("total_tokens"),
+    )
     within = Window.partitionBy("block").orderBy(F.desc("n_tokens"))
-    sums = own.join(blocks, "block").withColumn("docs_from", F.sum("docs").over(within) + F.col("ld")).withColumn("tokens_from", F.sum("tokens").over(within) + F.col("lt"))
+    sums = own.join(blocks, "block").withColumn("docs_from", F.sum("docs").over(within) + F.col("ld"))
+    sums = sums.withColumn("tokens_from", F.sum("tokens").over(within) + F.col("lt"))
     docs_to, tokens_to = F.col("total_docs") - F.col("docs_from") + F.col("docs"), F.col("total_tokens") - F.col("tokens_from") + F.col("tokens")
     return sums.select(
         "n_tokens", "docs", "docs_from", "tokens_from", docs_to.alias("docs_to"), tokens_to.alias("tokens_to"),
@@ -46,14 +51,20 @@ def answers(sums: DataFrame, limits: DataFrame, limit: str = "context") -> DataF
     """Per row of ``limits``: documents and tokens over the limit, tokens left by a cut at it.
 
     Between two lengths every sum follows from the next larger length, so the lookup is one ordered
-    merge of limits and lengths, not a product.
+    merge of limits and lengths, not a product. One task merges them: there are as many rows as different
+    lengths and limits, whatever the number of documents. A null limit gives no row.
     """
-    ask = limits.select(F.col(limit).cast("long").alias("n_tokens")).distinct()
-    marked = sums.select("n_tokens", "docs_from", "tokens_from", F.lit(False).alias("asked")).unionByName(ask.select("n_tokens", F.lit(None).cast("long").alias("docs_from"), F.lit(None).cast("long").alias("tokens_from"), F.lit(True).alias("asked")))
+    ask = limits.where(F.col(limit).isNotNull()).select(F.col(limit).cast("long").alias("n_tokens")).distinct()
+    none = F.lit(None).cast("long")
+    own = sums.select("n_tokens", "docs_from", "tokens_from", F.lit(False).alias("asked"))
+    marked = own.unionByName(ask.select("n_tokens", none.alias("docs_from"), none.alias("tokens_from"), F.lit(True).alias("asked")))
     up = Window.orderBy(F.desc("n_tokens"), F.asc("asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = marked.select("n_tokens", "asked", *[F.coalesce(F.last(c, ignorenulls=True).over(up), F.lit(0)).alias(c) for c in ("docs_from", "tokens_from")]).where("asked")
     total = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))
-    return found.join(F.broadcast(total)).select(F.col("n_tokens").alias(limit), F.col("docs_from").alias("docs_at_least"), (F.col("tokens_from") - F.col("n_tokens") * F.col("docs_from")).alias("tokens_cut"), (F.col("total_tokens") - F.col("tokens_from") + F.col("n_tokens") * F.col("docs_from")).alias("truncated_total"))
+    beyond = F.col("tokens_from") - F.col("n_tokens") * F.col("docs_from")
+    return found.join(F.broadcast(total)).select(
+        F.col("n_tokens").alias(limit), F.col("docs_from").alias("docs_at_least"), beyond.alias("tokens_cut"), (F.col("total_tokens") - beyond).alias("truncated_total")
+    )
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:

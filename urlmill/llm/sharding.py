@@ -9,7 +9,7 @@ rows move only into or out of the subtree whose weight changed.
 all rows that move go to the new shard: the law ``key``.
 
 Defined cases: a null text has 8 bytes of size and the CRC of no bytes, 0; a null key is placed like the
-empty string; repeated rows get slots of their own.
+empty string; repeated rows get slots of their own (rows equal in key and text are numbered in one task).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlmill.llm.common import unit_hash
+from urlmill.llm.common import stored, unit_hash
 
 REGIONS, RACKS, SHARDS = 3, 2, 4
 #: Rows that one sorted piece of a shard should hold, for numbering.
@@ -79,19 +79,25 @@ def assign(df: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text") -
     """Rows ``key, size, text_crc32, law, shard, slot, grown_shard``.
 
     Slots number a shard's rows from 0 without gaps, by pieces: each shard's rows are dealt to pieces by
-    a hash of the key, pieces are counted (from the key column alone), and a row's slot is its place in
-    its piece plus the rows of the pieces before. No task sorts a whole shard.
+    a hash of key and text, pieces are counted, and a row's slot is its place in its piece plus the rows of
+    the pieces before. No task sorts a whole shard. The texts are read once; what is counted and numbered
+    is the written narrow table.
     """
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     pieces = max(4, -(-df.count() // (PIECE_ROWS * tree.count)))
-    piece = F.pmod(F.xxhash64(name), F.lit(pieces)).alias("piece")
-    slim = df.select(
-        F.col(key), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        shard_of(F.col(key), tree).alias("shard"), shard_of(F.col(key), tree.grow()).alias("grown_shard"), piece,
+    body = F.col(text)
+    slim = stored(
+        df.select(
+            F.col(key), (F.coalesce(F.octet_length(body), F.lit(0)) + 8).cast("long").alias("size"),
+            F.coalesce(F.crc32(body.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+            shard_of(F.col(key), tree).alias("shard"), shard_of(F.col(key), tree.grow()).alias("grown_shard"),
+        )
     )
-    counts = df.select(shard_of(F.col(key), tree).alias("shard"), piece).groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    dealt = slim.withColumn("piece", F.pmod(F.xxhash64(name, "text_crc32"), F.lit(pieces)))
+    counts = dealt.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     place = Window.partitionBy("shard", "piece").orderBy(key, "text_crc32", "size")
-    placed = slim.withColumn("place", F.row_number().over(place) - 1).join(starts, ["shard", "piece"])
-    return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+    placed = dealt.withColumn("place", F.row_number().over(place) - 1).join(starts, ["shard", "piece"])
+    slot = (F.col("start") + F.col("place")).cast("long").alias("slot")
+    return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlmill.llm.common import components, cut
+from urlmill.llm.common import components, cut, lookup
 
 SHINGLE, SEED, MAX_BITS, BITS = 3, 42, 3, 64
-#: Distinct fingerprints of one key that one task compares with each other.
-CHUNK = 2048
+#: Distinct fingerprints of one key that one task compares with each other, and parts in which a key's are counted.
+CHUNK, SALTS = 2048, 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -121,15 +121,25 @@ def links(prints: DataFrame, rows: int, max_bits: int = MAX_BITS, chunk: int = C
 
     The more there are, the longer the keys, so that keys agree by chance about as seldom at any size.
     """
-    blocks = next((b for b in range(max_bits + 2, max_bits + 6) if rows <= 2 ** (BITS * (b - max_bits) // b + 3)), max_bits + 6)
+    blocks = blocks_for(rows, max_bits)
     masks = block_masks(blocks, max_bits)
-    keys = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.mask", "k.key")
-    met = keys.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    rows_in = keys.join(met, ["mask", "key"]).withColumn("c", chunks).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    key = [F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    keys = prints.select("fp", salt, F.explode(F.array(*key)).alias("k")).select("fp", "salt", "k.mask", "k.key")
+    # counted by salt, so that the rows of a hot key are nowhere in one task
+    parts = keys.groupBy("mask", "key", "salt").agg(F.count("*").alias("part"))
+    met = parts.groupBy("mask", "key").agg(F.sum("part").alias("n")).where("n > 1")
+    dealt = parts.join(met, ["mask", "key"]).select("mask", "key", "salt", F.ceil(F.col("n") / chunk).cast("int").alias("c"))
+    rows_in = keys.join(dealt, ["mask", "key", "salt"]).withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("c")).cast("int"))
     other = F.explode(F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("c") - 1), F.col("i"))))
     cells = rows_in.withColumn("j", other).select("mask", "key", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "fp")
-    return cells.repartition("mask", "key", "a", "b").sortWithinPartitions("mask", "key", "a", "b").mapInPandas(_linker(max_bits), "u long, v long")
+    sorted_cells = cells.repartition("mask", "key", "a", "b").sortWithinPartitions("mask", "key", "a", "b")
+    return sorted_cells.mapInPandas(_linker(max_bits), "u long, v long")
+
+
+def blocks_for(rows: int, max_bits: int = MAX_BITS) -> int:
+    """How many blocks to cut fingerprints into, so that few of ``rows`` agree on a key by chance."""
+    return next((b for b in range(max_bits + 2, max_bits + 6) if rows <= 2 ** (BITS * (b - max_bits) // b + 3)), max_bits + 6)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
@@ -137,13 +147,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     ``component_id``, the smallest key that links reach."""
     own = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     prints = cut(with_fingerprint(own, "text", "fp", shingle, seed).select("key", F.xxhash64("text").alias("text_hash"), "fp"))
-    classes = cut(prints.groupBy("fp").agg(F.min("key").alias("low")))
+    classes = cut(prints.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")))
     linked = components(links(classes.select("fp"), classes.count(), max_bits))
     roots = classes.join(linked.withColumnRenamed("node", "fp"), "fp")
-    lowest = roots.groupBy("root").agg(F.min("low").alias("lowest"))
-    joined = roots.join(lowest, "root").select("fp", "lowest")
-    of_class = classes.join(joined, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return prints.join(of_class, "fp", "left").select(F.col("key").alias(key), "text_hash", "fp", "component_id")
+    lowest = roots.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("n"))
+    joined = lookup(roots.select("fp", "root"), lowest, "root").select("fp", "lowest")
+    of_class = cut(classes.join(joined, "fp", "left").select("fp", "n", F.coalesce("lowest", "low").alias("component_id")))
+    return lookup(prints, of_class, "fp").select(F.col("key").alias(key), "text_hash", "fp", "component_id")
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -10,6 +10,9 @@ least ``needed`` words of any template (length filter), and have enough words le
 shared one in both orders (positional filter); what remains is verified block by block. Everything runs
 as DataFrame expressions; only the templates, which are a fixed list, are broadcast.
 
+Notices of the Creative Commons licenses differ in a word or two, so one that holds also meets others; of
+these templates a text gets the label of the one that it is closest to.
+
 Defined cases: a null text is an empty one, with no words and no label; words cross lines for the
 templates as for the phrases; repeated words count once for the templates and each time for phrases;
 equal texts share their result; an empty table gives no row.
@@ -22,6 +25,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlmill.llm.common import cut, lookup
+
 #: What separates words, before and after A-Z are lower-cased.
 GAP_ANY, GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
@@ -37,7 +42,15 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nd", "licensed under cc by nd 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
 )
+#: How the labels begin of which a text gets only the closest.
+CLOSEST = "cc-"
 THRESHOLD = 0.8
 
 
@@ -47,10 +60,6 @@ def lowered(text: Column) -> Column:
     return F.when(text.rlike("[İK]"), kept).otherwise(F.lower(text))
 
 
-def words_of(text: Column, gap: str = GAP) -> Column:
-    return F.filter(F.split(text, gap), lambda w: w != "")
-
-
 def needed(size: int, threshold: float = THRESHOLD) -> int:
     """How many of a template's words a block must hold."""
     return next(n for n in range(size + 1) if n >= threshold * size - 1e-9)
@@ -58,7 +67,8 @@ def needed(size: int, threshold: float = THRESHOLD) -> int:
 
 def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     rows = [(i, label, sorted(set(text.split())), ceil(len(text.split()) / threshold - 1e-9)) for i, (label, text) in enumerate(templates)]
-    return spark.createDataFrame([(i, label, words, len(words), needed(len(words), threshold), run) for i, label, words, run in rows], "template int, label string, words array<string>, size int, needed int, run int")
+    own = [(i, label, words, len(words), needed(len(words), threshold), run) for i, label, words, run in rows]
+    return spark.createDataFrame(own, "template int, label string, words array<string>, size int, needed int, run int")
 
 
 def texts_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,23 +85,35 @@ def best_block(words: Column, run: Column) -> Column:
     return F.greatest(F.array_max(lines), F.array_max(runs))
 
 
-def containment_join(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows ``(text_id, template, label, containment)``: all templates that a text's blocks meet, with the best block's share."""
+def prefix_words(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """Rows ``(word, template, place)`` of the templates' prefixes, and all template words, rarest in the texts first."""
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string"))
+    words = texts_of(docs, text).select(F.explode(F.array_distinct(F.split("low", GAP))).alias("word"))
+    seen = {r["word"]: r["count"] for r in words.join(known, "word").groupBy("word").count().collect()}  # one row per template word
+    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(order)}
+    prefix = []
+    for i, (_, t) in enumerate(templates):
+        own = sorted(set(t.split()), key=rank.__getitem__)
+        prefix += [(w, i, at) for at, w in enumerate(own[: len(own) - needed(len(own), threshold) + 1])]
+    return prefix, order
+
+
+def any_of(prefix: list[tuple[str, int, int]]) -> Column:
+    return F.array(*[F.lit(w) for w in sorted({p[0] for p in prefix})])
+
+
+def containment_join(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, plan: tuple | None = None) -> DataFrame:
+    """Rows ``(text_id, template, label, containment, overlap, size, n)``: all templates that a text's blocks
+    meet, with the best block's share and words; n rows have the text. plan: what ``prefix_words`` gave."""
     spark = docs.sparkSession
     known = template_table(spark, templates, threshold)
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
     texts = texts_of(docs, text)
-    counted = texts.select(F.explode(F.array_distinct(F.split("low", GAP))).alias("word")).join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string")), "word").groupBy("word").count()
-    seen = {r["word"]: r["count"] for r in counted.collect()}  # one row per template word
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
-    prefix = []
-    for i, (label, t) in enumerate(templates):
-        order = sorted(set(t.split()), key=rank.__getitem__)
-        for at, w in enumerate(order[: len(order) - needed(len(order), threshold) + 1]):
-            prefix.append((w, i, at))
+    prefix, order = plan or prefix_words(docs, text, templates, threshold)
     index = spark.createDataFrame(prefix, "word string, template int, at int")
-    first = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefix})])
-    everything = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.__getitem__)])
+    first = any_of(prefix)
+    everything = F.array(*map(F.lit, order))
     hit = texts.where(F.arrays_overlap(F.split("low", GAP), first))
     ordered = hit.withColumn("own", F.array_intersect(everything, F.split("low", GAP)))  # the text's template words, rarest first
     met = ordered.withColumn("word", F.explode(F.array_intersect(F.col("own"), first))).join(F.broadcast(index), "word").join(F.broadcast(known), "template")
@@ -103,17 +125,24 @@ def containment_join(docs: DataFrame, text: str = "text", templates=TEMPLATES, t
     verified = met.where((F.size("own") >= F.col("needed")) & alone & (left >= F.col("needed"))).where(F.size(shared) >= F.col("needed"))
     # exploded, so that a block is searched once and not again for the condition
     verified = verified.withColumn("all", F.split("low", GAP)).withColumn("overlap", F.explode(F.array(best_block(F.col("words"), F.col("run"))))).where("overlap >= needed")
-    return verified.groupBy("text_id", "template", "label").agg(F.max(F.col("overlap") / F.col("size")).alias("containment"))
+    best = [F.max(F.col("overlap") / F.col("size")).alias("containment"), F.max("overlap").alias("overlap"), F.max("size").alias("size"), F.count("*").alias("n")]
+    return verified.groupBy("text_id", "template", "label").agg(*best)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Rows ``key, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
-    found = containment_join(docs, text, templates, threshold).groupBy("text_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    plan = prefix_words(docs, text, templates, threshold)
+    close = F.col("label").startswith(CLOSEST)
+    met = containment_join(docs, text, templates, threshold, plan).groupBy("text_id").agg(
+        F.collect_set(F.when(~close, F.col("label"))).alias("more"), F.max("containment").alias("best"), F.max("n").alias("n"),
+        F.max(F.when(close, F.struct((2 * F.col("overlap") - F.col("size")).alias("k"), F.col("label")))).alias("closest"),
+    )
+    one = F.when(F.col("closest").isNotNull(), F.array("closest.label")).otherwise(F.array().cast("array<string>"))
+    found = cut(met.select("text_id", F.concat("more", one).alias("more"), "best", "n"))
     body = F.coalesce(F.col(text), F.lit(""))
-    pieces = F.split(body, GAP_ANY)
+    pieces = F.col("__pieces")
     n_words = F.size(pieces) - F.when(pieces[0] == "", 1).otherwise(0) - F.when((F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), 1).otherwise(0)
     any_phrase = "(?i)" + "|".join(p.replace(" ", GAP_ANY) for p, _ in PHRASES)
-    low = words_of(lowered(body))
 
     def starts(phrase: str, label: str) -> Column:
         words = phrase.split()
@@ -124,9 +153,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
         return F.transform(at, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
     none = F.array().cast("array<struct<at:bigint,label:string>>")
-    rows = docs.select(F.col(key), F.md5(F.col(text).cast("binary")).alias("text_id"), n_words.cast("long").alias("n_words"), F.when(body.rlike(any_phrase), low).alias("low"))
+    split = docs.select(F.col(key), F.md5(F.col(text).cast("binary")).alias("__id"), F.split(lowered(body), GAP).alias("__pieces"), body.rlike(any_phrase).alias("__any"))
+    # only texts with a prefix word look up what they met; the others don't gather at their copies
+    text_id = F.when(F.arrays_overlap(pieces, any_of(plan[0])), F.col("__id")).alias("text_id")
+    rows = split.select(key, text_id, n_words.cast("long").alias("n_words"), F.when(F.col("__any"), F.filter(pieces, lambda w: w != "")).alias("low"))
     rows = rows.withColumn("places", F.when(F.col("low").isNull(), none).otherwise(F.concat(*[starts(p, x) for p, x in PHRASES]))).drop("low")
-    joined = rows.join(found, "text_id", "left")
+    joined = lookup(rows, found, "text_id")
     base = F.array_distinct(F.col("places.label"))
     more = F.coalesce(F.col("more"), F.array().cast("array<string>"))
     place = F.col("places.at")

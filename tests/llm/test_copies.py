@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from urlmill.llm import copies, simhash
@@ -57,12 +58,22 @@ def test_near_copies_against_brute_force(spark, chunk):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and len(got) == len(rows)
 
 
-def test_cross_pairs_are_all_tested(spark):
-    members = spark.createDataFrame([(7, i) for i in range(9)] + [(8, 0), (8, 1)], "band long, sid long")
-    roots = spark.createDataFrame([(i, 0) for i in range(5)], "node long, root long")
-    want = {(a, b) for a in range(9) for b in range(max(a + 1, 5), 9)}
-    for chunk in (2048, 2):
-        assert {(r.u, r.v) for r in copies.cross_pairs(members, roots, chunk).collect()} == want
+def test_a_false_sure_pair_loses_nothing(spark, monkeypatch):
+    rows = _planted()
+    monkeypatch.setattr(copies, "SURE", 0.6)  # now sure pairs are often false
+    monkeypatch.setattr(copies, "MAYBE", 0.5)
+    got = copies.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(_brute(rows)))
+
+
+def test_a_group_gives_few_pairs():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 16, 192).astype(np.uint8)
+    sketches = np.stack([np.where(rng.random(192) < 0.02, rng.integers(0, 16, 192), base).astype(np.uint8) for _ in range(300)])
+    sids, sizes = np.arange(300), np.full(300, 100)
+    assert len(copies.pairs_of(sids, sids, sizes, sketches, 0.8, True)) == 299
+    assert copies.pairs_of(sids, np.zeros(300, int), sizes, sketches, 0.8, True) == []
+    assert copies.pairs_of(sids, sids, np.where(sids % 2, 100, 70), sketches, 0.8, False)[0][:2] == (0, 2)
 
 
 def test_pipeline_drops_edited_copies(spark):

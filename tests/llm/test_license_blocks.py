@@ -30,3 +30,17 @@ def test_scattered_words_are_no_notice(spark):
     template = licenses.TEMPLATES[1][1].split()
     rows = [(1, "\n".join(f"{w} some other words" for w in template)), (2, " ".join(template[:10]) + "\nfiller" * 30 + "\n" + " ".join(template[10:])), (3, None), (4, "")]
     assert all((r.labels, r.score) == ("", 0.0) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_of_similar_notices_the_closest_is_named(spark):
+    kinds = [label for label, t in licenses.TEMPLATES if t.startswith("licensed under cc ")]
+    rows = [(i, f"Some text.\nLicensed under {k.upper().replace('-', ' ', 1)} 4.0.\nMore text.") for i, k in enumerate(kinds)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(kinds)) and len(kinds) == 6
+
+
+def test_copies_of_a_notice(spark):
+    notice = "This work is released under the MIT license"
+    rows = [(i, notice) for i in range(2000)] + [(i, None) for i in range(2000, 3000)] + [(i, f"other text {i}") for i in range(3000, 3100)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3100 and all((r.labels == "mit") == (r.doc_id < 2000) for r in got)

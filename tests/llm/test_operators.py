@@ -285,8 +285,8 @@ def test_lacing(lacing):
     data = matroska.element(matroska.EBML, b"") + b"\x18\x53\x80\x67\x01\xff\xff\xff\xff\xff\xff\xff" + track + unknown + matroska.element(matroska.CLUSTER, matroska.element(matroska.TIME, b"\xc8"))
     media = matroska.parse(data)
     assert media.fault is None and len(media.clusters) == 2
-    assert [data[a : a + n] for _, _, a, n, *_ in media.packets] == frames
-    assert {(t, ns, k) for t, ns, _, _, k, *_ in media.packets} == {(2, 95_000_000, lacing)}
+    assert [data[p.at : p.at + p.size] for p in media.packets] == frames
+    assert {(p.track, p.time, p.lacing) for p in media.packets} == {(2, 95_000_000, lacing)}
 
 
 def test_matroska_cues_and_faults(spark):

@@ -88,7 +88,8 @@ def write(payload: bytes) -> bytes:
     head = element(EBML, element(DOC_TYPE, b"matroska") + element(DOC_VERSION, number(4)) + element(DOC_READ, number(2)))
     info = element(INFO, element(SCALE, number(1_000_000)))
     audio = element(AUDIO, element(RATE, np.array(HERTZ, ">f4").tobytes()) + element(CHANNELS, number(1)) + element(DEPTH, number(8)))
-    tracks = element(TRACKS, element(TRACK, element(NUMBER, number(1)) + element(UID, number(1)) + element(KIND, number(2)) + element(CODEC, b"A_PCM/INT/LIT") + element(DEFAULT_DURATION, number(FRAME * 10**9 // HERTZ)) + audio))
+    named = element(NUMBER, number(1)) + element(UID, number(1)) + element(KIND, number(2)) + element(CODEC, b"A_PCM/INT/LIT")
+    tracks = element(TRACKS, element(TRACK, named + element(DEFAULT_DURATION, number(FRAME * 10**9 // HERTZ)) + audio))
     body, cues = [info, tracks], []
     at = len(info) + len(tracks)
     for start in range(0, len(payload), FRAME * LACE * BLOCKS):
@@ -98,7 +99,8 @@ def write(payload: bytes) -> bytes:
             frames = [payload[i : min(i + FRAME, end)] for i in range(b, min(b + FRAME * LACE, end), FRAME)]
             blocks.append(element(SIMPLE_BLOCK, laced(frames, 1, (b - start) * 1000 // HERTZ)))
         body.append(element(CLUSTER, b"".join(blocks)))
-        cues.append(element(CUE, element(CUE_TIME, number(start * 1000 // HERTZ)) + element(CUE_AT, element(CUE_TRACK, number(1)) + element(CUE_CLUSTER, number(at)))))
+        place = element(CUE_AT, element(CUE_TRACK, number(1)) + element(CUE_CLUSTER, number(at)))
+        cues.append(element(CUE, element(CUE_TIME, number(start * 1000 // HERTZ)) + place))
         at += len(body[-1])
     return head + element(SEGMENT, b"".join(body) + element(CUES, b"".join(cues)))
 

@@ -58,7 +58,8 @@ def is_ordinary(text: Column) -> Column:
     place = F.lower(F.regexp_extract(text, AUTHORITY, 1))
     host = F.regexp_extract(place, "^([^:]*)", 1)
     digits = F.regexp_extract(place, ":([0-9]*)$", 1)
-    return F.coalesce(text.rlike(ORDINARY) & ~host.rlike(r"(^|\.)xn--") & ~host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$") & ((digits == "") | (digits.try_cast("int") <= 65535)), F.lit(False))
+    plain = ~host.rlike(r"(^|\.)xn--") & ~host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+    return F.coalesce(text.rlike(ORDINARY) & plain & ((digits == "") | (digits.try_cast("int") <= 65535)), F.lit(False))
 
 
 def _walked(path: Column) -> Column:
@@ -308,7 +309,9 @@ def ipv4_value(text: Column) -> Column:
     good = (n <= 4) & F.forall(values, lambda v: v.isNotNull()) & F.forall(F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda v: v <= 255)
     last = F.element_at(values, -1)
     room = F.when(n == 1, F.lit(2**32)).when(n == 2, F.lit(2**24)).when(n == 3, F.lit(2**16)).otherwise(F.lit(256))
-    head = F.aggregate(F.transform(F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda v, i: F.when(i == 0, v * 2**24).when(i == 1, v * 2**16).otherwise(v * 2**8)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    shifted = lambda v, i: F.when(i == 0, v * 2**24).when(i == 1, v * 2**16).otherwise(v * 2**8)
+    before = F.transform(F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0))), shifted)
+    head = F.aggregate(before, F.lit(0).cast("bigint"), lambda a, v: a + v)
     return F.when(F.coalesce(good & (last < room), F.lit(False)), last + head)
 
 

@@ -40,7 +40,11 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     rules = marked.where((F.col("line") != "") & ~F.col("line").startswith("//")).withColumn("kind", kinds)
     named = rules.withColumn("h", url_host(F.regexp_replace("line", r"^(\*\.|!)", "")))
     host = F.col("h.host")
-    return named.select(F.col("line_no").cast("long"), "line", host.alias("suffix"), F.size(F.split(host, r"\.")).alias("depth"), "kind", F.when(F.col("section") != "", F.col("section")).alias("section"), F.col("h.error").alias("error"))
+    section = F.when(F.col("section") != "", F.col("section"))
+    depth = F.size(F.split(host, r"\."))
+    return named.select(
+        F.col("line_no").cast("long"), "line", host.alias("suffix"), depth.alias("depth"), "kind", section.alias("section"), F.col("h.error").alias("error")
+    )
 
 
 def rules(lines: DataFrame) -> DataFrame:
@@ -82,7 +86,8 @@ def lookup(df: DataFrame, host: str, table: DataFrame, to: str = "suffix_info")
     best = F.lit(None).cast("struct<depth:int,kind:int,section:string>")
     for k in range(1, (facts["depth"] or 0) + 1):
         own = F.when(F.col("__n") >= k, F.array_join(F.slice("__l", F.greatest(F.col("__n") - (k - 1), F.lit(1)), F.lit(k)), "."))
-        out = out.withColumn(f"__s{k}", own).join(small.select(F.col("suffix").alias(f"__t{k}"), F.struct(F.lit(k).alias("depth"), "kind", "section").alias(f"__r{k}")), F.col(f"__s{k}") == F.col(f"__t{k}"), "left").drop(f"__t{k}", f"__s{k}")
+        of_depth = small.select(F.col("suffix").alias(f"__t{k}"), F.struct(F.lit(k).alias("depth"), "kind", "section").alias(f"__r{k}"))
+        out = out.withColumn(f"__s{k}", own).join(of_depth, F.col(f"__s{k}") == F.col(f"__t{k}"), "left").drop(f"__t{k}", f"__s{k}")
         rule = F.col(f"__r{k}")
         best = F.when(rule.isNotNull() & ((rule["kind"] != WILDCARD) | (F.col("__n") > k)), rule).otherwise(best)
     out = out.withColumn("__best", best)

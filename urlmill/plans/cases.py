@@ -346,10 +346,14 @@ def _idna_options(text: Column) -> tuple[Column, ...]:
     return one(strict=True), one(check_hyphens=True), one(std3=True), one(dns_length=True)
 
 
-@on_cases("idna_faults", "faults", {
+@on_cases(
+    "idna_faults",
+    "faults",
+    {
     ("ok{n}",): ("",), ("xn--",): ("invalid_ace_label",), ("xn--a!",): ("punycode",), ("\u0308a",): ("leading_mark",), ("x\u200cy{n}",): ("context_joiner",),
     ("אa",): ("bidi",), ("\u2028{n}",): ("disallowed",), ("\u0308\u200d",): ("context_joiner,leading_mark",),
-})
+},
+)
 def _idna_faults(text: Column) -> tuple[Column, ...]:
     return (F.array_join(parse.domain_to_unicode(text)["faults"], ","),)
 
@@ -370,10 +374,14 @@ def _decode(text: Column) -> tuple[Column, ...]:
     return E.percent_decode(text), E.form_decode(text)
 
 
-@on_cases("utf_cases", "from_8 from_16le from_16be", {
+@on_cases(
+    "utf_cases",
+    "from_8 from_16le from_16be",
+    {
     ("6100", "6100", "0061"): ("a\x00", "a", "a"), ("C3BC", "FC00", "00FC"): ("ü", "ü", "ü"), ("E6BCA2", "226F", "6F22"): ("漢", "漢", "漢"),
     ("F09F9880", "3DD800DE", "D83DDE00"): ("😀", "😀", "😀"), ("61FF62", "61006200", "00610062"): ("a\ufffdb", "ab", "ab"), ("E6BC", "", ""): ("\ufffd", "", ""),
-})
+},
+)
 def _utf(eight: Column, low: Column, high: Column) -> tuple[Column, ...]:
     return E.utf8_text(F.unhex(eight)), E.utf8_text(F.unhex(low), "UTF-16LE"), E.utf8_text(F.unhex(high), "UTF-16BE")
 
@@ -392,9 +400,13 @@ def _params(text: Column, query: Column) -> tuple[Column, ...]:
     return P.to_string(own), P.get(own, "a"), P.size(own), R.with_params(parse.url_parse(text), P.empty())["href"]
 
 
-@on_cases("params_sort_cases", "q", {
+@on_cases(
+    "params_sort_cases",
+    "q",
+    {
     ("z={n}&ﬀ=1&🌈=2&a=3&z=0",): ("a=3&z={n}&z=0&%F0%9F%8C%88=2&%EF%AC%80=1",), ("b=2&B=1&a=&aa=0",): ("B=1&a=&aa=0&b=2",), ("é=1&e={n}&=0",): ("=0&e={n}&%C3%A9=1",),
-})
+},
+)
 def _sorted(query: Column) -> tuple[Column, ...]:
     return (P.to_string(P.sort(P.parse(query))),)
 
@@ -561,7 +573,10 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("window.start").cast("long").alias("window_start"), "registrable_domain", "n")
 
 
-@_register("nfc", "SELECT doc_id, nfc_normalize(concat(substr(text, 1, 40), 'e', chr(769), chr(4370), chr(4449), chr(4523))) AS composed FROM documents")
+@_register(
+    "nfc",
+    "SELECT doc_id, nfc_normalize(concat(substr(text, 1, 40), 'e', chr(769), chr(4370), chr(4449), chr(4523))) AS composed FROM documents",
+)
 def _nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.concat(F.substr("text", F.lit(1), F.lit(40)), F.lit("e\u0301\u1112\u1161\u11ab"))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", parse.nfc(own).alias("composed"))

@@ -71,9 +71,14 @@ def test_a_group_gives_few_pairs():
     base = rng.integers(0, 16, 192).astype(np.uint8)
     sketches = np.stack([np.where(rng.random(192) < 0.02, rng.integers(0, 16, 192), base).astype(np.uint8) for _ in range(300)])
     sids, sizes = np.arange(300), np.full(300, 100)
-    assert len(copies.pairs_of(sids, sids, sizes, sketches, 0.8, True)) == 299
-    assert copies.pairs_of(sids, np.zeros(300, int), sizes, sketches, 0.8, True) == []
-    assert copies.pairs_of(sids, sids, np.where(sids % 2, 100, 70), sketches, 0.8, False)[0][:2] == (0, 2)
+    pairs, more = copies.pairs_of(sids, sids, sizes, sketches, 0.8, 0)
+    assert len(pairs) == 299 and not more
+    assert copies.pairs_of(sids, np.zeros(300, int), sizes, sketches, 0.8, 4) == ([], False)
+    assert copies.pairs_of(sids, sids, np.where(sids % 2, 100, 70), sketches, 0.8, 0)[0][0] == (0, 2)
+    apart = np.where(sids < 290, 0, sids)  # ten sets outside of the large group
+    pairs, more = copies.pairs_of(sids, apart, sizes, sketches, 0.8, 4)
+    assert more and len(pairs) <= 40
+    assert len(set(copies.pairs_of(sids, apart, sizes, sketches, 0.8, None)[0])) == 290 * 10 + 45
 
 
 def test_pipeline_drops_edited_copies(spark):

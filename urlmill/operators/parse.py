@@ -7,6 +7,7 @@ at once, so such rows cost Python nothing but their place in a batch; nothing is
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ from urlmill.functions.charsets import FRAGMENT, PATH, SPECIAL_QUERY, USERINFO
 from urlmill.functions.encoding import percent_encode
 from urlmill.functions.record import DDL, FIELDS, RECORD, default_port, is_special_scheme, origin, serialize_parts
 
-#: Ordinary rows: printable ASCII, a special scheme with ``//``, no user, a plain domain, no backslash.
-ORDINARY = r"^(?i:https?|wss?|ftp)://[A-Za-z0-9._~!$&'()*+,;=-]+(?::[0-9]{0,5})?(?:[/?#][ -\[\]-~]*)?\z"
-AUTHORITY = r"^[A-Za-z]+://([^/?#]*)"
+#: Ordinary rows: printable ASCII, a special scheme with ``//``, no user, a plain domain (no encoded label, no number in the end), no backslash.
+ORDINARY = (
+    r"^(?i:https?|wss?|ftp)://(?!(?i:[^/?#:]*\.)?(?i:xn--))(?!(?:[^/?#:]*\.)?(?i:[0-9]+|0x[0-9a-f]*)\.?(?:[/?#:]|\z))"
+    r"[A-Za-z0-9._~!$&'()*+,;=-]+(?::(?:0*[0-9]{0,4}|0*[1-5][0-9]{4}|0*6[0-4][0-9]{3}|0*65[0-4][0-9]{2}|0*655[0-2][0-9]|0*6553[0-5]))?(?:[/?#][ -\[\]-~]*)?\z"
+)
 #: Hosts by themselves that are plain domains.
 PLAIN_HOST = r"^[A-Za-z0-9._~!$&'()*+,;=-]+\z"
 
@@ -50,16 +53,13 @@ def url_parse(text: Column, base: Column | None = None, where: Column | None = N
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    odd = text.rlike(r"^[\x00-\x20]|[\t\n\r]|[\x00-\x20]\z")
+    return F.when(odd, F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")).otherwise(text)
 
 
 def is_ordinary(text: Column) -> Column:
     """Whether the native expressions cover a (trimmed) text."""
-    place = F.lower(F.regexp_extract(text, AUTHORITY, 1))
-    host = F.regexp_extract(place, "^([^:]*)", 1)
-    digits = F.regexp_extract(place, ":([0-9]*)$", 1)
-    plain = ~host.rlike(r"(^|\.)xn--") & ~host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
-    return F.coalesce(text.rlike(ORDINARY) & plain & ((digits == "") | (digits.try_cast("int") <= 65535)), F.lit(False))
+    return F.coalesce(text.rlike(ORDINARY), F.lit(False))
 
 
 def _walked(path: Column) -> Column:
@@ -73,24 +73,48 @@ def _walked(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)/(\.|%2e)"), F.concat(F.lit("/"), F.array_join(full, "/"))).otherwise(path)
 
 
+def _behind(text: Column, before: Column, mark: str) -> Column:
+    """What follows ``before`` and a mark in a text; null without the mark."""
+    return F.when(F.instr(text, mark) > 0, F.substr(text, F.length(before) + 2))
+
+
+#: The parts of an ordinary text ``t``, step by step: each step is made of columns of those before.
+STEPS: tuple[Callable[[Callable[[str], Column]], dict[str, Column]], ...] = (
+    lambda c: {"scheme": F.lower(F.substring_index(c("t"), ":", 1)), "rest": F.substr(c("t"), F.instr(c("t"), "://") + 3)},
+    lambda c: {"body": F.substring_index(c("rest"), "#", 1)},
+    lambda c: {"front": F.substring_index(c("body"), "?", 1), "fragment": percent_encode(_behind(c("rest"), c("body"), "#"), FRAGMENT)},
+    lambda c: {"place": F.substring_index(c("front"), "/", 1), "query": percent_encode(_behind(c("body"), c("front"), "?"), SPECIAL_QUERY)},
+    lambda c: {
+        "host": F.lower(F.substring_index(c("place"), ":", 1)),
+        "raw": percent_encode(F.when(c("front") == c("place"), F.lit("/")).otherwise(F.substr(c("front"), F.length(c("place")) + 1)), PATH),
+    },
+    lambda c: {"number": _behind(c("place"), c("host"), ":").try_cast("int"), "path": _walked(c("raw"))},
+    lambda c: {"port": F.when(c("number") == default_port(c("scheme")), F.lit(None).cast("int")).otherwise(c("number"))},
+)
+
+
+def _ordinary_record(c: Callable[[str], Column]) -> Column:
+    known = {n: c(n) for n in ("scheme", "host", "port", "path", "query", "fragment")}
+    return _record(known | {"username": F.lit(""), "password": F.lit(""), "host_type": F.lit("Domain"), "opaque_path": F.lit(False), "error": F.lit(None).cast("string")})
+
+
 def native_parse(text: Column) -> Column:
     """Records of ordinary (trimmed) texts, by built-in expressions only."""
-    scheme = F.lower(F.regexp_extract(text, "^([A-Za-z]+):", 1))
-    place = F.regexp_extract(text, AUTHORITY, 1)
-    host = F.lower(F.regexp_extract(place, "^([^:]*)", 1))
-    number = F.regexp_extract(place, ":([0-9]+)$", 1).try_cast("int")
-    port = F.when(number == default_port(scheme), F.lit(None)).otherwise(number)
-    rest = F.regexp_extract(text, r"^[A-Za-z]+://[^/?#]*(.*)$", 1)
-    fragment = F.when(rest.contains("#"), percent_encode(F.regexp_extract(rest, "^[^#]*#(.*)$", 1), FRAGMENT))
-    body = F.regexp_extract(rest, "^([^#]*)", 1)
-    query = F.when(body.contains("?"), percent_encode(F.regexp_extract(body, "^[^?]*[?](.*)$", 1), SPECIAL_QUERY))
-    raw = F.regexp_extract(body, "^([^?]*)", 1)
-    path = _walked(percent_encode(F.when(raw == "", F.lit("/")).otherwise(raw), PATH))
-    own = {
-        "scheme": scheme, "username": F.lit(""), "password": F.lit(""), "host": host, "host_type": F.lit("Domain"), "port": port.cast("int"), "path": path,
-        "opaque_path": F.lit(False), "query": query, "fragment": fragment, "error": F.lit(None).cast("string"),
-    }
-    return _record(own)
+    parts = {"t": text}
+    for step in STEPS:
+        parts |= step(parts.__getitem__)
+    return _ordinary_record(parts.__getitem__)
+
+
+def with_native(df: DataFrame, text: str, to: str) -> DataFrame:
+    """``df`` with the records of a column of ordinary texts; null for null. Each part is a column of its own, made once."""
+    column = lambda n: F.col(text) if n == "t" else F.col(f"__{n}")
+    made, names = df, []
+    for step in STEPS:
+        parts = {f"__{n}": c for n, c in step(column).items()}
+        names += parts
+        made = made.withColumns(parts)
+    return made.withColumn(to, F.when(F.col(text).isNotNull(), _ordinary_record(column))).drop(*names)
 
 
 def _record(own: dict[str, Column]) -> Column:
@@ -103,9 +127,9 @@ def parse_urls(df: DataFrame, text: str, to: str = "url_record", route: bool = T
     if not route:
         return df.withColumn(to, url_parse(F.col(text)))
     cleaned = df.withColumn("__clean", trimmed(F.col(text)))
-    easy = cleaned.withColumn("__easy", is_ordinary(F.col("__clean")))
-    hard = easy.withColumn("__hard", url_parse(F.col(text), where=~F.col("__easy")))
-    return hard.withColumn(to, F.when(F.col("__easy"), native_parse(F.col("__clean"))).otherwise(F.col("__hard"))).drop("__clean", "__easy", "__hard")
+    easy = cleaned.withColumn("__easy", F.when(is_ordinary(F.col("__clean")), F.col("__clean"))).drop("__clean")
+    hard = easy.withColumn("__hard", url_parse(F.col(text), where=F.col("__easy").isNull()))
+    return with_native(hard, "__easy", "__native").withColumn(to, F.coalesce("__native", "__hard")).drop("__easy", "__hard", "__native")
 
 
 def can_parse(text: Column, base: Column | None = None) -> Column:
@@ -140,13 +164,12 @@ def resolve_links(df: DataFrame, link: str, base: str, to: str = "url_record") -
     """``df`` with the record of each link on its base. Ordinary links on ordinary bases are resolved by
     built-in expressions, the others by the kernel; a null base is none."""
     cleaned = df.withColumn("__base", trimmed(F.col(base))).withColumn("__link", trimmed(F.col(link)))
-    based = cleaned.withColumn("__on", F.when(is_ordinary(F.col("__base")), native_parse(F.col("__base"))))
+    based = with_native(cleaned.withColumn("__base", F.when(is_ordinary(F.col("__base")), F.col("__base"))), "__base", "__on")
     # a scheme without // may stand for a relative link, and is left to the kernel by is_ordinary
     whole = based.withColumn("__whole", F.when(F.col("__on").isNotNull(), absolute(F.col("__link"), F.col("__on"))))
-    easy = whole.withColumn("__easy", is_ordinary(F.col("__whole")))
-    hard = easy.withColumn("__hard", url_parse(F.col(link), F.col(base), ~F.col("__easy")))
-    done = hard.withColumn(to, F.when(F.col("__easy"), native_parse(F.col("__whole"))).otherwise(F.col("__hard")))
-    return done.drop("__base", "__link", "__on", "__whole", "__easy", "__hard")
+    easy = whole.withColumn("__whole", F.when(is_ordinary(F.col("__whole")), F.col("__whole"))).drop("__base", "__link", "__on")
+    hard = easy.withColumn("__hard", url_parse(F.col(link), F.col(base), F.col("__whole").isNull()))
+    return with_native(hard, "__whole", "__native").withColumn(to, F.coalesce("__native", "__hard")).drop("__whole", "__hard", "__native")
 
 
 def origins(df: DataFrame, record: str = "url_record", to: str = "origin") -> DataFrame:

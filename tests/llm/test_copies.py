@@ -90,3 +90,35 @@ def test_pipeline_drops_edited_copies(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, lang string")
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(_brute(rows)))
+
+
+@pytest.mark.parametrize("chunk", [2048, 40])
+def test_a_large_group_on_both_sides_of_the_limit_writes_each_set_a_few_times(spark, tmp_path, monkeypatch, chunk):
+    rng, base = random.Random(3), [f"w{i}" for i in range(100)]
+    rows = []
+    for _ in range(300):  # one to six edits of one text: pairs between 0.45 and 0.9
+        own = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 3, 6])):
+            own[at] = f"e{rng.randrange(10**6)}"
+        rows.append(" ".join(own))
+    cells, old = [], copies.in_cells
+    monkeypatch.setattr(copies, "in_cells", lambda rows, key, *carried: cells.append((key, old(rows, key, *carried))) or cells[-1][1])
+    got = copies.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), chunk=chunk).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(_brute(rows)))
+    written = dict(cells)["root"].groupBy("sid").count().agg({"count": "max"}).first()[0]
+    assert written <= max(-(-300 // chunk) - 1, 1)
+
+
+def test_links_of_sets_against_all_pairs():
+    rng = np.random.default_rng(5)
+    pool = np.sort(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in rng.integers(1, 12, 400)] + [np.array([], np.uint64)]
+    root = list(range(len(sets)))
+    for i, j in copies.similar(sets, 0.5):
+        a, b = sorted((root[i], root[j]))
+        assert a != b and len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
+        root = [a if r == b else r for r in root]
+    own = [set(s.tolist()) for s in sets]
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            assert root[i] == root[j] or len(a & b) < 0.5 * len(a | b)

@@ -7,13 +7,13 @@ s never meets with a chance of ``(1 - s ** ROWS) ** BANDS``, that is 1e-11 at 0.
 
 The sets that meet in a band are compared by sketches, 4 bits of each of their 192 MinHash values. Of a pair
 whose sketches agree in under ``MAYBE`` of the places nothing more is looked at; at a similarity of 0.8
-that happens by chance once in 4,000 pairs, at 0.85 once in 10 million. The others are verified on the
-whole sets (of 64-bit hashes), so no link is wrong, in rounds, so that a large group never gives all its
-pairs: first a forest of the pairs that agree in ``SURE`` of the places; then, between the groups that the
-verified links have made, the closest pairs of each set that is not in the largest group of its band, in
-every round more of them (``ROUNDS``) and in the last one all. It ends as soon as a round leaves nothing out.
-A band with very many sets is cut into chunks, and every two chunks meet in a task of their own, of
-bounded size.
+that happens by chance once in 4,000 pairs, at 0.85 once in 10 million. The others make clusters, of which
+a band gives a forest only, so that a large group never gives all its pairs. Every link is then found on
+the whole sets (of 64-bit hashes) of a cluster: each set goes to its cluster once, the intersections of
+one set with all others are counted at once, and a forest of the links comes back, so no link is wrong and
+none within a cluster is lost. A band or cluster with very many sets is cut into chunks, and every two
+chunks meet in a task of their own, of bounded size; a set is then written once for every other chunk, and
+the time of a cluster grows with the square of its sets.
 
 Defined cases: words are those of ``simhash``; a null text counts as empty; texts without words have
 equal, empty sets; a text shorter than a shingle is one shingle; repeated shingles count once; null
@@ -39,8 +39,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 48, 4
 CHUNK, SALTS = 2048, 32
 #: Shares of places at which two sketches may be, and surely are, of near copies.
 MAYBE, SURE = 0.715, 0.84
-#: Pairs of a set that a round verifies: 0 those of a forest, None all.
-ROUNDS = (0, 4, 64, None)
+#: Shingles of a cluster's sets that a chunk holds at about most.
+CHUNK_SHINGLES = 1_000_000
 #: Candidate sets, of 16 bytes, that may be broadcast instead of shuffling all texts to them.
 MAX_BROADCAST = 500_000
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -90,18 +90,83 @@ def with_bands(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> Dat
     return df.withColumn("__s", sketch(F.col(text))).select(*df.columns, *[F.col(f"__s.{n}").alias(n) for n in fields])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose sets are similar enough."""
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("met", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("met") >= similarity * (F.size("a") + F.size("b") - F.col("met")) - 1e-9).select("u", "v")
+def similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links ``(i, j)`` of a spanning forest of those ``sets`` (distinct hashes) that are similar enough."""
+    sizes = np.array([len(s) for s in sets])
+    ends, flat, own = np.cumsum(sizes), np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], own[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]][: len(flat)])
+    times = np.diff(np.r_[first, len(flat)])
+    shingle = np.empty(len(flat), np.int64)
+    shingle[order] = np.repeat(np.arange(len(first)), times)
+    out, left = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        todo = [start] if left[start] else []
+        left[start] = False
+        while todo and left.any():
+            i = todo.pop()
+            mine = shingle[ends[i] - sizes[i] : ends[i]]
+            mine = mine[times[mine] > 1]
+            n = times[mine]
+            met = np.bincount(own[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+            near = np.flatnonzero(left & (met >= similarity * (sizes + sizes[i] - met) - 1e-9))
+            left[near] = False
+            todo.extend(near.tolist())
+            out += [(i, j) for j in near.tolist()]
+    return out
+
+
+def whole_cells(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows sorted by the cell ``by``, with the cells' edges; each cell is whole once the next begins."""
+    kept = None
+    for batch in batches:
+        now = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        cell = now[by].to_numpy()
+        edge = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1 if len(now) else np.array([], int)
+        if len(edge):
+            yield now.iloc[: edge[-1]], np.r_[0, edge]
+            kept = now.iloc[edge[-1] :]
+        else:
+            kept = now
+    if kept is not None and len(kept):
+        yield kept, np.array([0, len(kept)])
+
+
+def in_cells(rows: DataFrame, key: str, *carried: str) -> DataFrame:
+    """``rows(key, sid, c, ...)`` dealt to ``c`` chunks of their key, once for every pair of chunks; cells come sorted."""
+    other = F.explode(F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("c") - 1), F.col("i"))))
+    dealt = rows.withColumn("i", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("c")).cast("int")).withColumn("j", other)
+    return dealt.select(key, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "sid", *carried)
 
 
-def pairs_of(sids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float, most: int | None) -> tuple[list[tuple[int, int]], bool]:
+def linked_in_clusters(clusters: DataFrame, sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """Links ``(u, v)``, a forest of each two chunks, of the sets of ``clusters(node, root)`` that are similar enough.
+
+    sets: ``sid``, ``size`` and ``shingles``.
+    """
+    slim = cut(clusters.select(F.col("node").alias("sid"), "root").join(sets.select("sid", "size"), "sid"))
+    parts = F.ceil(F.greatest(F.count("*") / chunk, F.sum("size") / CHUNK_SHINGLES)).cast("int")
+    placed = lookup(slim, slim.groupBy("root").agg(F.count("*").alias("n"), parts.alias("c")), "root").select("root", "sid", "c")
+    cells = in_cells(placed, "root").join(sets.select("sid", "shingles"), "sid")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, edges in whole_cells(batches, ["root", "a", "b"]):
+            sids, own, found = rows["sid"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shingles"]], []
+            for a, b in zip(edges, edges[1:]):
+                found += [(sids[a + i], sids[a + j]) for i, j in similar(own[a:b], similarity)]
+            yield pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return cells.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInPandas(compare, "u long, v long")
+
+
+def pairs_of(sids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float, most: int | None, sure: float | None = None) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of one cell's sets, from different groups ``roots``, that may be near copies; whether there are more.
 
-    most: 0 for a forest of the pairs that surely are; else of each set, but for those of the largest
+    most: 0 for a forest of the pairs that surely are (``sure`` places agree or more); else of each set, but for those of the largest
     group, that many of the closest (None: all).
     """
+    sure = SURE if sure is None else sure
     order = np.argsort(sids, kind="stable")
     sids, group, sizes, sketches = sids[order], np.unique(roots[order], return_inverse=True)[1], sizes[order], sketches[order]
     place = np.arange(len(sids))
@@ -111,11 +176,11 @@ def pairs_of(sids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: n
         others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 1e-9]
         share = (sketches[others] == sketches[i]).mean(axis=1)
         if most == 0:
-            for j in others[share >= SURE]:
+            for j in others[share >= sure]:
                 if group[j] != group[i]:
                     out.append((int(sids[i]), int(sids[j])))
                     group[group == group[j]] = group[i]
-            more = more or bool(((share >= MAYBE) & (share < SURE)).any())
+            more = more or bool(((share >= MAYBE) & (share < sure)).any())
         else:
             near = others[share >= MAYBE][np.argsort(-share[share >= MAYBE], kind="stable")]
             more = more or most is not None and len(near) > most
@@ -123,62 +188,27 @@ def pairs_of(sids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: n
     return out, more
 
 
-def candidates(members: DataFrame, facts: DataFrame, roots: DataFrame | None, similarity: float, chunk: int, most: int | None) -> DataFrame:
-    """Pairs ``(u, v, more)`` of ``members(band, sid)`` that meet in a band, in different groups ``roots(node, root)``.
+def candidates(members: DataFrame, facts: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """Pairs ``(u, v)``, a forest of each cell, of ``members(band, sid)`` that meet in a band and may be near copies.
 
-    facts: size and sketch of each set. Without roots each set is a group. more: a cell has left pairs
-    out; a row whose ``u`` is ``v`` says only that.
+    facts: size and sketch of each set.
     """
-    placed = members.withColumn("root", F.col("sid"))
-    if roots is not None:
-        placed = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)))
     # counted by salt, so that the rows of a hot band are nowhere in one task
-    parts = salted.groupBy("band", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    split = parts.groupBy("band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low <> high")
+    parts = salted.groupBy("band", "salt").agg(F.count("*").alias("n"))
+    split = parts.groupBy("band").agg(F.sum("n").alias("n"))
     dealt = parts.select("band", "salt").join(split.select("band", F.ceil(F.col("n") / chunk).cast("int").alias("c")), "band")
-    rows = salted.join(dealt, ["band", "salt"]).withColumn("i", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("c")).cast("int"))
-    other = F.explode(F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("c") - 1), F.col("i"))))
-    cells = rows.join(facts, "sid").withColumn("j", other).select("band", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "sid", "root", "size", "sketch")
+    cells = in_cells(salted.join(dealt, ["band", "salt"]).join(facts, "sid"), "band", "size", "sketch")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells come sorted, so each is whole once the next begins; a cell is at most two chunks."""
-        kept = None
-        for batch in batches:
-            now = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            cell = now[["band", "a", "b"]].to_numpy()
-            edge = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1 if len(now) else np.array([], int)
-            if len(edge):
-                yield compared(now, np.r_[0, edge])
-                kept = now.iloc[edge[-1] :]
-            else:
-                kept = now
-        if kept is not None and len(kept):
-            yield compared(kept, np.array([0, len(kept)]))
-
-    def compared(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-        n = int(edges[-1])
-        packed = np.frombuffer(b"".join(rows["sketch"].iloc[:n]), np.uint8).reshape(n, -1)
-        sketches = np.concatenate([packed >> 4, packed & 15], axis=1)
-        sids, own, sizes = (rows[c].to_numpy()[:n] for c in ("sid", "root", "size"))
-        found: dict[tuple[int, int], bool] = {}
-        for a, b in zip(edges, edges[1:]):
-            pairs, more = pairs_of(sids[a:b], own[a:b], sizes[a:b], sketches[a:b], similarity, most)
-            found.update(dict.fromkeys(pairs, False))
-            if more:
-                found[int(sids[a]), int(sids[a])] = True
-        rows = [(u, v, more) for (u, v), more in found.items()]
-        return pd.DataFrame(rows, columns=["u", "v", "more"]).astype({"u": "int64", "v": "int64", "more": bool})
-
-    sorted_cells = cells.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
-    return sorted_cells.mapInPandas(compare, "u long, v long, more boolean").distinct()
-
-
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v, ...)`` in different groups ``roots(node, root)``; a set without a root is its own."""
-    one = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"__{side}"))
-    both = pairs.join(one("u"), "u", "left").join(one("v"), "v", "left")
-    return both.where(F.coalesce("__u", "u") != F.coalesce("__v", "v")).select(*pairs.columns)
+        for rows, edges in whole_cells(batches, ["band", "a", "b"]):
+            packed = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+            sketches = np.concatenate([packed >> 4, packed & 15], axis=1)
+            sids, sizes = (rows[c].to_numpy() for c in ("sid", "size"))
+            found = [p for a, b in zip(edges, edges[1:]) for p in pairs_of(sids[a:b], sids[a:b], sizes[a:b], sketches[a:b], similarity, 0, MAYBE)[0]]
+            yield pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return cells.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b").mapInPandas(compare, "u long, v long")
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
@@ -191,37 +221,17 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     met = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(keys.join(met, "band").select("band", "sid"))
     facts = cut(reps.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "size", "sketch", "text_hash"))
-    @F.pandas_udf(T.ArrayType(T.LongType()))
+
+    @F.pandas_udf(T.BinaryType())
     def hashes(batch: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, shingle).view(np.int64) for t in batch])
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The shingles of the sets in ``pairs``, from one text of each."""
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-        one = cut(facts.join(asked, "sid", "left_semi").select("sid", F.col("text_hash").alias("__hash")))
-        few = F.broadcast(one) if one.count() <= MAX_BROADCAST else one
-        texts = own.join(few, F.col("text_hash") == F.col("__hash"))
-        return cut(texts.select("sid", "text").dropDuplicates(["sid"]).select("sid", hashes("text").alias("shingles")))
-
-    slim = facts.select("sid", "size", "sketch")
-    near = tested = own.sparkSession.createDataFrame([], "u long, v long")
-    linked = None
-    for most in ROUNDS:
-        found = cut(candidates(members, slim, linked, similarity, chunk, most))
-        pairs = found.where("u <> v").select("u", "v")
-        fresh = pairs if most == 0 else cut(pairs.join(tested, ["u", "v"], "left_anti"))
-        if most == 0 or not fresh.isEmpty():
-            sets = sets_of(fresh)
-            # one pair of each set first; what these connect needs no further pair
-            near = cut(near.unionByName(verified(fresh.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, similarity)))
-            linked = components(near)
-            rest = cut(verified(apart(fresh, linked), sets, similarity))
-            if not rest.isEmpty():
-                near = near.unionByName(rest)
-                linked = components(near)
-            tested = tested.unionByName(fresh)
-        if found.where("more").isEmpty() and (most != 0 or apart(pairs, linked).isEmpty()):
-            break
+        return pd.Series([shingles(t, shingle).tobytes() for t in batch])
+
+    clusters = components(candidates(members, facts.select("sid", "size", "sketch"), similarity, chunk))
+    asked = cut(facts.join(clusters, F.col("sid") == F.col("node"), "left_semi").select("sid", "size", F.col("text_hash").alias("__hash")))
+    few = F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked
+    texts = own.join(few, F.col("text_hash") == F.col("__hash")).select("sid", "size", "text").dropDuplicates(["sid"])
+    sets = cut(texts.select("sid", "size", hashes("text").alias("shingles")))
+    linked = components(linked_in_clusters(clusters, sets, similarity, chunk))
     roots = classes.join(linked.withColumnRenamed("node", "sid"), "sid")
     lowest = roots.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("n"))
     joined = lookup(roots.select("sid", "root"), lowest, "root").select("sid", "lowest")

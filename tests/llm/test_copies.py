@@ -122,3 +122,44 @@ def test_links_of_sets_against_all_pairs():
     for i, a in enumerate(own):
         for j, b in enumerate(own[:i]):
             assert root[i] == root[j] or len(a & b) < 0.5 * len(a | b)
+
+
+@pytest.mark.parametrize("shared, own, other", [(4, 1, 0), (8, 2, 0), (16, 2, 2), (100, 12, 13), (400, 100, 0)])
+def test_simhash_blocks_meet_at_the_similarity(shared, own, other):
+    rng = np.random.default_rng(shared)
+    blocks, bits = copies.blocks_for(250_000)
+    for _ in range(200):
+        hashes = rng.permutation(np.unique(rng.integers(0, 1 << 63, shared + own + other).astype(np.uint64)))
+        sets = np.sort(hashes[: shared + own]), np.sort(np.r_[hashes[:shared], hashes[shared + own :]])
+        a, b = (copies.fingerprint_bits(s, copies.CHECKED + blocks * bits) for s in sets)
+        assert (a == b)[: copies.CHECKED].mean() >= copies.may_be()
+        assert (a == b)[copies.CHECKED :].reshape(blocks, bits).all(axis=1).any()
+        words = np.stack([np.packbits(x[: copies.CHECKED], bitorder="little").view(np.uint64) for x in (a, b, 1 - a)])
+        assert copies.meeting(words, int((a != b)[: copies.CHECKED].sum())).tolist() == [True, True, False]
+
+
+def test_simhash_blocks_grow_with_the_rows():
+    assert copies.blocks_for(0) == copies.blocks_for(1_000)
+    assert [copies.blocks_for(n)[1] for n in (10**5, 10**6, 10**7)] == [10, 13, 17]
+    for n in (10**3, 10**5, 10**7):
+        blocks, bits = copies.blocks_for(n)
+        assert (1 - (1 - copies.angle(0.8)) ** bits) ** blocks <= copies.MISS and blocks << bits < 1 << 31
+    assert copies.blocks_for(10**6, 1.0)[0] == 1 and copies.may_be(0.5) < copies.may_be(0.8) <= copies.MAYBE
+    assert not copies.fingerprint_bits(np.array([], np.uint64), 300).any()
+
+
+def test_candidates_of_near_copies_come_from_simhash(spark, monkeypatch):
+    rows, met = _planted(), []
+    old = copies.candidates
+    monkeypatch.setattr(copies, "candidates", lambda sets, *how: met.append(sets) or old(sets, *how))
+    copies.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    found = {r.sid: r for r in met[0].collect()}
+    blocks, bits = copies.blocks_for(len(rows))
+    for text in rows:
+        own = copies.shingles(text)
+        row = found[int(np.uint64(copies.xxhash.xxh64_intdigest(own.tobytes(), simhash.SEED)).view(np.int64))]
+        want = copies.fingerprint_bits(own, copies.CHECKED + blocks * bits)
+        words = np.array([row[w] for w in copies.WORDS], np.int64).view(np.uint8)
+        assert np.unpackbits(words, bitorder="little").tolist() == want[: copies.CHECKED].tolist()
+        keys = want[copies.CHECKED :].reshape(blocks, bits)
+        assert row.bands == [(i << bits) + sum(int(x) << j for j, x in enumerate(k)) for i, k in enumerate(keys)]

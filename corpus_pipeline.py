@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """Keeps one document of each group of near copies: SimHash of five-word shingles, Jaccard similarity 0.8 or more."""
     return copies.keep_first(docs).select(*docs.columns)
 
 

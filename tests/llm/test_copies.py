@@ -163,3 +163,13 @@ def test_candidates_of_near_copies_come_from_simhash(spark, monkeypatch):
         assert np.unpackbits(words, bitorder="little").tolist() == want[: copies.CHECKED].tolist()
         keys = want[copies.CHECKED :].reshape(blocks, bits)
         assert row.bands == [(i << bits) + sum(int(x) << j for j, x in enumerate(k)) for i, k in enumerate(keys)]
+
+
+def test_small_tables_are_cut_into_few_files(spark, monkeypatch):
+    from urlmill.llm import common
+
+    sizes = []
+    monkeypatch.setattr(common, "cut", lambda df, parts=None, real=common.cut: sizes.append((parts, (out := real(df, parts)).rdd.getNumPartitions())) or out)
+    edges = spark.range(50).selectExpr("id as u", "id + 1 as v").repartition(16)
+    assert {r.root for r in common.components(edges, parts=2).collect()} == {0}
+    assert sizes and all(parts == 2 and n <= 2 for parts, n in sizes)

@@ -23,12 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written copy."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in at most ``parts`` files, and go on from the written copy."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -116,16 +116,16 @@ def frames(rows, columns: list[str], most: int = 20_000) -> Iterator[pd.DataFram
         yield pd.DataFrame({c: pd.Series(v, dtype=object if isinstance(v[0], str) else None) for c, v in zip(columns, zip(*part))})
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, parts: int | None = None) -> DataFrame:
     """Connected components of ``edges(u long, v long)``: rows ``(node, root)``, root the smallest node.
 
     Alternating large-star and small-star rewrites: each hangs a node's neighbours on the smallest of
     them, so the depth shrinks geometrically while the number of edges never grows. A node's
     neighbours are only ever reduced to their minimum, never gathered; where one node has very many, its
-    join is a sort-merge join that adaptive execution splits. Every round is cut to the shared folder.
-    Nodes without an edge do not appear.
+    join is a sort-merge join that adaptive execution splits. Every round is cut to the shared folder, in at
+    most ``parts`` files. Nodes without an edge do not appear.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), parts)
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -133,7 +133,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        after = cut(small.where("u <> v").distinct())
+        after = cut(small.where("u <> v").distinct(), parts)
         # Stars are reached once no node hangs on two, and no root hangs on another node.
         alone = after.groupBy("u").count()
         if alone.where("count > 1").isEmpty() and after.select(F.col("v").alias("u")).join(alone, "u", "left_semi").isEmpty():

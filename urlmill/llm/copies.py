@@ -54,6 +54,8 @@ CHUNK = 2048
 MAYBE, SURE = 0.715, 0.84
 #: Shingles of a cluster's sets that a chunk holds at about most.
 CHUNK_SHINGLES = 1_000_000
+#: Rows of a file of slim columns: each file costs a process on executors without Hadoop's native library.
+ROWS_A_FILE = 8_000
 #: Candidate sets, of 16 bytes, that may be broadcast instead of shuffling all texts to them.
 MAX_BROADCAST = 500_000
 WORDS = [f"w{i}" for i in range(CHECKED // 64)]
@@ -246,11 +248,11 @@ def pairs_of(sids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: n
     return out, more
 
 
-def candidates(sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
+def candidates(sets: DataFrame, similarity: float, chunk: int, files: int | None = None) -> DataFrame:
     """Pairs ``(u, v)``, a forest of each cell, of ``sets(sid, size, WORDS, bands)`` that meet in a block and may be near copies."""
     keys = sets.select("sid", "size", *WORDS, F.explode("bands").alias("band"))
     # a key of over a chunk of sets: fewer than one for a chunk's rows, so they may be broadcast
-    hot = cut(keys.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("band", F.ceil(F.col("n") / chunk).cast("int").alias("__c")))
+    hot = cut(keys.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("band", F.ceil(F.col("n") / chunk).cast("int").alias("__c")), files)
     cells = in_cells(keys.join(F.broadcast(hot), "band", "left").withColumn("c", F.coalesce("__c", F.lit(1))), "band", "size", *WORDS)
     maybe = may_be(similarity)
 
@@ -271,24 +273,26 @@ def candidates(sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``df``: ``key``, ``text_hash`` and ``component_id``, the smallest key that links reach."""
     own = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    prints = cut(with_prints(own, *blocks_for(df.count(), similarity), "text", shingle).select("key", "text_hash", "sid", "size", *WORDS, "bands"))
-    classes = cut(prints.groupBy("sid").agg(F.min("key").alias("low"), F.count("*").alias("n")))
-    reps = cut(prints.drop("key").dropDuplicates(["sid"]))
+    rows = df.count()
+    files = rows // ROWS_A_FILE + 1
+    prints = cut(with_prints(own, *blocks_for(rows, similarity), "text", shingle).select("key", "text_hash", "sid", "size", *WORDS, "bands"))
+    classes = cut(prints.groupBy("sid").agg(F.min("key").alias("low"), F.count("*").alias("n")), files)
+    reps = cut(prints.drop("key").dropDuplicates(["sid"]), files)
 
     @F.pandas_udf(T.BinaryType())
     def hashes(batch: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, shingle).tobytes() for t in batch])
 
-    clusters = components(candidates(reps, similarity, chunk))
-    asked = cut(reps.join(clusters, F.col("sid") == F.col("node"), "left_semi").select("sid", "size", F.col("text_hash").alias("__hash")))
+    clusters = components(candidates(reps, similarity, chunk, files), parts=files)
+    asked = cut(reps.join(clusters, F.col("sid") == F.col("node"), "left_semi").select("sid", "size", F.col("text_hash").alias("__hash")), files)
     few = F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked
     texts = own.join(few, F.col("text_hash") == F.col("__hash")).select("sid", "size", "text").dropDuplicates(["sid"])
     sets = cut(texts.select("sid", "size", hashes("text").alias("shingles")))
-    linked = components(linked_in_clusters(clusters, sets, similarity, chunk))
+    linked = components(linked_in_clusters(clusters, sets, similarity, chunk), parts=files)
     roots = classes.join(linked.withColumnRenamed("node", "sid"), "sid")
     lowest = roots.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("n"))
     joined = lookup(roots.select("sid", "root"), lowest, "root").select("sid", "lowest")
-    of_class = cut(classes.join(joined, "sid", "left").select("sid", "n", F.coalesce("lowest", "low").alias("component_id")))
+    of_class = cut(classes.join(joined, "sid", "left").select("sid", "n", F.coalesce("lowest", "low").alias("component_id")), files)
     return lookup(prints.select("sid", "key", "text_hash"), of_class, "sid").select(F.col("key").alias(key), "text_hash", "component_id")
 
 

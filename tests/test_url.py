@@ -1,13 +1,16 @@
 """URL rules: kernel values, native expressions against the kernel, parameters, patterns, suffixes, files."""
 
 import json
+import os
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urlmill.functions import encoding, files, idna, kernel, params, record
+from urlmill.functions.batches import by_row
 from urlmill.functions.charsets import SETS
 from urlmill.functions.pattern import PatternError, compile_pattern
 from urlmill.operators import filepath, match, parse, suffixes
@@ -92,6 +95,19 @@ def test_one_reading_of_the_input(spark, tmp_path):
         assert plan.count("Relation [") == most, name  # a set operation has two sides
 
 
+def test_one_worker_for_kernel_columns_side_by_side(spark):
+    own = [by_row(T.StructType().add("pid", "long").add("x", "long"), lambda x, k=k: (os.getpid(), x * k)) for k in (1, 10, 100)]
+    rows = spark.range(64, numPartitions=2).select("id", *[f(F.col("id") % 3 == i, F.col("id")).alias(f"c{i}") for i, f in enumerate(own)], *[f(F.lit(True), F.col("id")).alias(f"d{i}") for i, f in enumerate(own)]).collect()
+    for r in rows:
+        assert len({r.d0.pid, r.d1.pid, r.d2.pid}) == 1, r
+        assert [c and c.x for c in (r.c0, r.c1, r.c2)] == [r.id * 10**i if r.id % 3 == i else None for i in range(3)], r
+        assert [d.x for d in (r.d0, r.d1, r.d2)] == [r.id, r.id * 10, r.id * 100], r
+    most = {"set_accepted": 2, "set_prefixed_path": 2, "file_url_cases": 2, "idna_options": 1, "idna_cases": 1, "file_path_cases": 1, "set_rejected": 2, "path_from_file_url": 2, "url_equals": 1}
+    for name, n in most.items():
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") <= n, name
+
+
 def test_native_setters_equal_kernel(spark):
     urls = ["http://u:p@h.test:81/a/b?q#f", "https://h.test/", "file:///x/y", "file://srv/x", "mailto:x", "x-y://h/p", "x-y:/p", "ws://1.2.3.4/", "no url"]
     values = ["", "a b", "#x y", "?q='1'", "%zz", "..", "/a/../b/%2e", "x/./y", "0080", "443", "80x", "65536", "x", "HTTPS", "https:", "ftp:x", "file", "x-y", "mailto", "New.TEST", "new.test:080", "xn--a", "1.2", "h:99999", "a@b:c/d", "\\\\", "a\\b", "ü", "t\tb", "http://n.test/%7E", "<>\"`{}|^", "x#y?z"]
